@@ -1,4 +1,4 @@
-"""Greedy one-to-one pairing for order keys that hold too many rows for one task.
+"""Greedy pairing within amount and time bands for keys with too many rows for one task.
 
 Gives exactly the pairs of ``pairing.take_greedily``, without listing a group's pairs:
 
@@ -92,27 +92,6 @@ def _band_grid(tolerance: Tolerance) -> Grid:
     )
 
 
-def _amount_grid(largest_gap: float) -> Grid:
-    def ledger_cells(df: DataFrame, radius: float) -> DataFrame:
-        r = F.lit(radius)
-        df = df.withColumns({"scale": F.lit(0), "time_cell": F.lit(0)})
-        return df.withColumn("amount_cell", F.explode(_span(F.col("net"), r, r)))
-
-    def bank_cells(df: DataFrame, ledger: DataFrame, radius: float) -> DataFrame:
-        return df.withColumns({
-            "scale": F.lit(0), "time_cell": F.lit(0),
-            "amount_cell": F.floor(F.col("b_amount") / F.lit(radius)).cast("bigint"),
-        })
-
-    radii = [0.005]
-    while radii[-1] < largest_gap:
-        radii.append(radii[-1] * 4)
-    return Grid(
-        ["order_key", "net"], ["order_key", "b_amount"], pairing.diff(), F.lit(True), radii,
-        ledger_cells, bank_cells,
-    )
-
-
 def _classes(rows: DataFrame, columns: list[str], side: str) -> tuple[DataFrame, DataFrame]:
     """Rows with class and rank in it, and one row per class."""
     ranked = rank_in_groups(rows, columns, [f"{side}_id"], "rank")
@@ -254,11 +233,3 @@ def pair_in_bands(ledger: DataFrame, bank: DataFrame, tolerance: Tolerance) -> D
         known(pairing.ledger_points(ledger), "net", "l_amount", "l_at"),
         known(pairing.bank_points(bank), "b_amount", "b_at"), _band_grid(tolerance),
     )
-
-
-def pair_nearest(ledger: DataFrame, bank: DataFrame) -> DataFrame:
-    l = pairing.ledger_points(ledger).dropna(subset=["net"])
-    b = pairing.bank_points(bank).dropna(subset=["b_amount"])
-    values = l.select(F.col("net").alias("v")).unionByName(b.select(F.col("b_amount").alias("v")))
-    low, high = values.agg(F.min("v"), F.max("v")).first()
-    return _pair(l, b, _amount_grid((high - low) if low is not None else 0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from paisaflow.operators import hot_pairing, pairing
+from paisaflow.operators import hot_nearest, pairing
 from paisaflow.operators.keys import split_hot
 
 
@@ -18,5 +18,5 @@ def nearest_pairs(
         pairing.same_key_edges(l_small, b_small, pairing.diff())
     ).drop("cost")
     if hot_keys is not None:
-        taken = taken.unionByName(hot_pairing.pair_nearest(l_hot, b_hot))
+        taken = taken.unionByName(hot_nearest.pair_nearest(l_hot, b_hot))
     return taken

@@ -9,33 +9,48 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from paisaflow.session import cut
 
 
-def rank_in_groups(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "rank"
+def running_counts(
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], flags: dict[str, Column]
 ) -> DataFrame:
-    """Zero-based rank in ``order`` within ``groups`` (none: over the whole frame).
+    """For each row, how many earlier rows of its group have each flag set.
 
-    Rows are range-partitioned, so a group of any size spreads over tasks; each task ranks
-    its part and adds the sizes of the group's earlier parts, a table with one row per part.
+    "Earlier" is by ``order`` within ``groups`` (none: over the whole frame). Rows are
+    range-partitioned, so a group of any size spreads over tasks; each task counts in its part
+    and adds the group's counts in earlier parts, a table with one row per part.
     """
+    names = list(flags)
     placed = cut(
         df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id())
+    ).withColumns({f"_is_{n}": c.cast("bigint") for n, c in flags.items()})
+    here = (
+        Window.partitionBy("_part", *groups).orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    totals = placed.groupBy("_part", *groups).agg(
+        *[F.sum(f"_is_{n}").alias(f"_all_{n}") for n in names]
     )
-    local = F.row_number().over(Window.partitionBy("_part", *groups).orderBy(*order)) - 1
-    sizes = placed.groupBy("_part", *groups).agg(F.count("*").alias("_n"))
     earlier = (
         Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = sizes.select(
-        "_part", *groups, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    return (
-        placed.withColumn("_local", local)
-        .join(offsets, ["_part", *groups])
-        .withColumn(name, (F.col("_before") + F.col("_local")).cast("bigint"))
-        .drop("_part", "_local", "_before")
+    none = F.lit(0).cast("bigint")
+    before = totals.select("_part", *groups, *[
+        F.coalesce(F.sum(f"_all_{n}").over(earlier), none).alias(f"_before_{n}") for n in names
+    ])
+    inside = placed.withColumns({
+        f"_here_{n}": F.coalesce(F.sum(f"_is_{n}").over(here), none) for n in names
+    })
+    return inside.join(before, ["_part", *groups]).select(
+        *df.columns, *[(F.col(f"_before_{n}") + F.col(f"_here_{n}")).alias(n) for n in names]
     )
 
 
+def rank_in_groups(
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "rank"
+) -> DataFrame:
+    """Zero-based rank in ``order`` within ``groups`` (none: over the whole frame)."""
+    return running_counts(df, groups, order, {name: F.lit(1)})
+
+
 def file_row_number(scan: DataFrame, name: str = "row_num") -> DataFrame:
     """One-based position of each row of a text scan, files in path order.
 

@@ -3,19 +3,20 @@
 import datetime as dt
 import random
 
-import pytest
-
-from paisaflow.operators import hot_pairing
+from paisaflow.operators import hot_nearest, hot_pairing
 from paisaflow.operators.fuzzy import fuzzy_match
 from paisaflow.operators.keys import find_hot_keys, with_order_key
 from paisaflow.operators.nearest import nearest_pairs
 from paisaflow.schemas import FUZZY_TOLERANCE
 from tests.helpers import at, bank, fuzzy_cost, gap, greedy, ledger, txns
 
+SPREAD = [round(50 * 1.06 ** i, 2) for i in range(90)]
+COPIES = [499.0, 499.5, 1200.0]
+LATTICE = [float(a) for a in range(90, 102)]
 
-def crowd(seed, n_ledger, n_bank, amounts, days, step_minutes, keys=("",)):
-    """Rows of a few keys with amounts and times drawn from small sets, so copies occur."""
-    rng = random.Random(seed)
+
+def crowd(rng, key, n_ledger, n_bank, amounts, days, step_minutes):
+    """Rows of a key with amounts and times drawn from small sets, so copies and ties occur."""
     start = at("2025-06-01T00:00:00")
 
     def when():
@@ -23,51 +24,60 @@ def crowd(seed, n_ledger, n_bank, amounts, days, step_minutes, keys=("",)):
             minutes=rng.randrange(0, days * 1440 // step_minutes) * step_minutes
         )
 
+    name = key or "blank"
+    numbers = lambda n: rng.sample(range(1000), n)
     ls = [
-        ledger(source_id=f"L{i:05d}", order_id=rng.choice(keys), amount=rng.choice(amounts),
-               fee=0.0, raw_tax_on_fee=0.0, created_at=when())
-        for i in range(n_ledger)
+        ledger(source_id=f"L_{name}_{i:03d}", order_id=key, amount=rng.choice(amounts), fee=0.0,
+               raw_tax_on_fee=0.0, created_at=when()) for i in numbers(n_ledger)
     ]
     bs = [
-        bank(source_id=f"B{i:05d}", order_id=rng.choice(keys), amount=rng.choice(amounts),
-             created_at=when())
-        for i in range(n_bank)
+        bank(source_id=f"B_{name}_{i:03d}", order_id=key, amount=rng.choice(amounts),
+             created_at=when()) for i in numbers(n_bank)
     ]
-    rng.shuffle(ls)
-    rng.shuffle(bs)
     return ls, bs
 
 
-CROWDS = {
-    "spread": dict(seed=1, n_ledger=90, n_bank=80,
-                   amounts=[round(50 * 1.07 ** i, 2) for i in range(90)], days=20, step_minutes=7),
-    "copies": dict(seed=2, n_ledger=200, n_bank=220, amounts=[499.0, 499.5, 1200.0], days=3,
-                   step_minutes=1440),
-    "lattice": dict(seed=3, n_ledger=70, n_bank=70, amounts=[float(a) for a in range(90, 110)],
-                    days=2, step_minutes=1440),
-}
+def many_keys(seed, sizes):
+    rng = random.Random(seed)
+    ls, bs = [], []
+    for i in range(sizes):
+        amounts, days, step = rng.choice([
+            (SPREAD, 20, 7), (COPIES, 3, 1440), (LATTICE, 2, 1440), (SPREAD, 1, 60),
+            (LATTICE, 1, 360),
+        ])
+        l, b = crowd(rng, f"o{i}", rng.randint(1, 14), rng.randint(1, 14), amounts, days, step)
+        ls += l
+        bs += b
+    return ls, bs
 
 
-@pytest.mark.parametrize("name", ["spread", "copies", "lattice"])
-def test_band_pairs_equal_sequential_choice(spark, name):
-    ls, bs = crowd(**CROWDS[name])
-    found = hot_pairing.pair_in_bands(
-        with_order_key(txns(spark, *ls)), with_order_key(txns(spark, *bs)), FUZZY_TOLERANCE
-    )
-    got = [(r.l_id, r.b_id) for r in found.collect()]
-    assert len(got) == len(set(got))
-    assert set(got) == greedy(ls, bs, fuzzy_cost)
+def keyed(spark, ls, bs):
+    return with_order_key(txns(spark, *ls)), with_order_key(txns(spark, *bs))
 
 
-@pytest.mark.parametrize("name", ["copies", "lattice"])
-def test_nearest_pairs_equal_sequential_choice(spark, name):
-    ls, bs = crowd(**CROWDS[name])
-    found = hot_pairing.pair_nearest(
-        with_order_key(txns(spark, *ls)), with_order_key(txns(spark, *bs))
-    )
+def pairs_of(found):
     got = [(r.l_id, r.b_id) for r in found.collect()]
     assert len(got) == len(set(got))
-    assert set(got) == greedy(ls, bs, gap)
+    return set(got)
+
+
+def test_band_pairs_equal_sequential_choice(spark):
+    ls, bs = many_keys(1, 120)
+    found = hot_pairing.pair_in_bands(*keyed(spark, ls, bs), FUZZY_TOLERANCE)
+    assert pairs_of(found) == greedy(ls, bs, fuzzy_cost)
+
+
+def test_nearest_pairs_equal_sequential_choice(spark):
+    ls, bs = many_keys(2, 250)
+    assert pairs_of(hot_nearest.pair_nearest(*keyed(spark, ls, bs))) == greedy(ls, bs, gap)
+
+
+def test_one_crowded_key_in_bands(spark, monkeypatch):
+    """Few pairs per class allowed: several radii are needed."""
+    monkeypatch.setattr(hot_pairing, "PAIRS_PER_CLASS", 0.02)
+    ls, bs = crowd(random.Random(3), "", 150, 140, SPREAD, 10, 7)
+    found = hot_pairing.pair_in_bands(*keyed(spark, ls, bs), FUZZY_TOLERANCE)
+    assert pairs_of(found) == greedy(ls, bs, fuzzy_cost)
 
 
 def test_nearest_pairs_far_apart(spark):
@@ -75,15 +85,15 @@ def test_nearest_pairs_far_apart(spark):
     ls = [ledger(source_id=f"L{i:03d}", amount=100.0 + i, fee=0.0, raw_tax_on_fee=0.0)
           for i in range(60)]
     bs = [bank(source_id=f"B{i:03d}", amount=90_000.0 + 3 * i) for i in range(70)]
-    found = hot_pairing.pair_nearest(
-        with_order_key(txns(spark, *ls)), with_order_key(txns(spark, *bs))
-    )
-    assert {(r.l_id, r.b_id) for r in found.collect()} == greedy(ls, bs, gap)
+    assert pairs_of(hot_nearest.pair_nearest(*keyed(spark, ls, bs))) == greedy(ls, bs, gap)
 
 
 def test_hot_and_small_keys_together(spark):
-    ls, bs = crowd(5, 160, 150, [round(80 * 1.05 ** i, 2) for i in range(60)], 10, 11,
-                   keys=("", "", "", "order_a", "order_b"))
+    rng = random.Random(5)
+    ls, bs = crowd(rng, "", 90, 80, SPREAD, 10, 11)
+    for key in ("order_a", "order_b"):
+        l, b = crowd(rng, key, 12, 9, SPREAD[:20], 10, 11)
+        ls, bs = ls + l, bs + b
     l, b = txns(spark, *ls), txns(spark, *bs)
     hot = find_hot_keys(l, b, pair_limit=3000)
     assert [r.order_key for r in hot.collect()] == [""]
