@@ -798,7 +798,7 @@ select count(*) as n, round(avg(abs(deduction_pct - fee_pct)), 6) as mae,
     "curvature": """
 select round(corr(r, s), 6) as corr_with_amount_sq,
   coalesce(stddev_pop(r) >= 1e-9 and stddev_pop(s) >= 1e-9 and abs(corr(r, s)) > 0.15, false)
-    as curved
+    as curved, count(*) as n
 from (select (fee_amount + tax_on_fee) / txn_amount - fee_pct as r, txn_amount ** 2 as s
   from base)""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from paisaflow.schemas import CASH_POSITION_KEYWORDS, FORWARD_LOOKING_KEYWORDS, ID_PATTERN
 
@@ -53,18 +53,22 @@ def repair_json(block: Column) -> Column:
     return F.regexp_replace(c, r"'([A-Za-z0-9_]+?)'\s*:", '"$1":')
 
 
-def clean_json(text: Column) -> Column:
-    """The answer's JSON text: its block as it is when that parses, else repaired, else null."""
-    block = json_block(text)
-    repaired = repair_json(block)
-    return F.when(F.try_parse_json(block).isNotNull(), block).when(
-        F.try_parse_json(repaired).isNotNull(), repaired
+def with_clean_json(df: DataFrame, column: str, name: str = "json") -> DataFrame:
+    """Adds the JSON text of raw answers: the block as it is when it parses, else repaired,
+    else null. One step per column, so that no step is worked out twice."""
+    blocks = df.withColumn("_block", json_block(F.col(column)))
+    blocks = blocks.withColumn("_ok", F.try_parse_json("_block").isNotNull())
+    repaired = F.when(~F.col("_ok"), repair_json(F.col("_block")))
+    tried = blocks.withColumn("_fixed", repaired)
+    good = F.when(F.col("_ok"), F.col("_block")).when(
+        F.try_parse_json("_fixed").isNotNull(), F.col("_fixed")
     )
+    return tried.withColumn(name, good).drop("_block", "_ok", "_fixed")
 
 
-def answers_by_id(text: Column, value_schema: str) -> Column:
-    """An object keyed by id as a map of typed values."""
-    return F.from_json(clean_json(text), f"map<string, {value_schema}>")
+def answers_by_id(json: Column, value_schema: str) -> Column:
+    """A cleaned object keyed by id as a map of typed values."""
+    return F.from_json(json, f"map<string, {value_schema}>")
 
 
 def record_text() -> Column:

@@ -33,14 +33,10 @@ def parse_naive(text: Column) -> Column:
 
 def parse_export_timestamp(text: Column) -> Column:
     """The first of the accepted export formats that fits, else null."""
-    t = F.trim(text)
-    day_first = [
-        F.try_to_timestamp(t, F.lit(fmt)).cast("timestamp_ntz")
-        for fmt in ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy")
-    ]
+    day_first = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{1,2}:\d{1,2}:\d{1,2}))?$"
+    t = F.trim(F.regexp_replace(F.trim(text), day_first, "$3-$2-$1 $4"))
     # try_cast also takes bare years and months, which the exports do not use
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), t.try_cast("timestamp_ntz"))
-    return F.coalesce(iso, *day_first)
+    return F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), t.try_cast("timestamp_ntz"))
 
 
 def is_weekend(day: Column) -> Column:

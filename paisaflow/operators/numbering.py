@@ -9,6 +9,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from paisaflow.session import cut
 
 
+# One row per file split or task: small even for very large inputs, and checked all the same.
+BROADCAST_ROWS = 100_000
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """The table stored, and marked for broadcast if it is as small as expected."""
+    stored = cut(table)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def running_counts(
     df: DataFrame, groups: Sequence[str], order: Sequence[str], flags: dict[str, Column]
 ) -> DataFrame:
@@ -36,6 +46,8 @@ def running_counts(
     before = totals.select("_part", *groups, *[
         F.coalesce(F.sum(f"_all_{n}").over(earlier), none).alias(f"_before_{n}") for n in names
     ])
+    if not groups:
+        before = _small(before)
     inside = placed.withColumns({
         f"_here_{n}": F.coalesce(F.sum(f"_is_{n}").over(here), none) for n in names
     })
@@ -71,7 +83,7 @@ def file_row_number(scan: DataFrame, name: str = "row_num") -> DataFrame:
     )
     place: Column = F.col("_before") + F.col("_seq") - F.col("_first") + 1
     return (
-        marked.join(offsets, ["_file", "_split"])
+        marked.join(_small(offsets), ["_file", "_split"])
         .withColumn(name, place.cast("bigint"))
         .drop("_file", "_split", "_seq", "_first", "_before")
     )

@@ -27,8 +27,10 @@ def last_match_per_order(matches: DataFrame) -> DataFrame:
 
 def reasons_per_order(exceptions: DataFrame) -> DataFrame:
     """An order's exception reasons with row counts. Equal reasons combine before the shuffle,
-    so an order with very many exception rows stays small."""
-    counted = exceptions.groupBy("order_id", "reason", "explanation").agg(
+    so an order with very many exception rows stays small. Blank orders, which may be very
+    many rows, belong to no record."""
+    named = exceptions.filter(F.coalesce("order_id", F.lit("")) != "")
+    counted = named.groupBy("order_id", "reason", "explanation").agg(
         F.count("*").alias("rows")
     )
     return counted.groupBy("order_id").agg(

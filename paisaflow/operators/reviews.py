@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from paisaflow.schemas import REVIEW_DECISIONS
+from paisaflow.schemas import REVIEW_DECISIONS, REVIEW_LOG
 
 REOPENED = "reopened"
 KEY = ["row_id", "side"]
@@ -26,13 +26,28 @@ def validate_decisions(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def reopen(keys: DataFrame) -> DataFrame:
-    """Log rows that take earlier decisions back."""
-    return keys.select(
-        *KEY, F.lit(REOPENED).alias("decision"), "decided_at", "seq"
+def _stamped(rows: DataFrame) -> DataFrame:
+    """The log columns, decided now in UTC; later rows of a batch come after earlier ones."""
+    now = F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
+    given = [F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType)
+             .alias(f.name) for f in REVIEW_LOG.fields if f.name not in ("decided_at", "seq")]
+    return rows.select(
+        *given, now.alias("decided_at"), F.monotonically_increasing_id().alias("seq")
     )
 
 
+def decide(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(log rows to append, rejected decisions). A later decision on a key replaces the
+    earlier ones in ``latest_decisions``; nothing is rewritten."""
+    accepted, rejected = validate_decisions(decisions)
+    return _stamped(accepted), rejected
+
+
+def reopen(keys: DataFrame) -> DataFrame:
+    """Log rows that take the decisions on ``row_id, side`` back."""
+    return _stamped(keys.select(*KEY, F.lit(REOPENED).alias("decision")))
+
+
 def latest_decisions(log: DataFrame) -> DataFrame:
     """The last decision per key, without the keys last reopened.
 

@@ -109,11 +109,12 @@ def curvature(predicted: DataFrame, target: str) -> DataFrame:
     squared = F.pow("txn_amount", F.lit(2.0))
     rows = predicted.select((F.col(target) - F.col("prediction")).alias("r"), squared.alias("s"))
     return rows.agg(
-        F.corr("r", "s").alias("c"), F.stddev_pop("r").alias("sr"), F.stddev_pop("s").alias("ss")
+        F.corr("r", "s").alias("c"), F.stddev_pop("r").alias("sr"),
+        F.stddev_pop("s").alias("ss"), F.count("*").alias("n"),
     ).select(
         F.col("c").alias("corr_with_amount_sq"),
         F.when((F.col("sr") < 1e-9) | (F.col("ss") < 1e-9), F.lit(False))
-        .otherwise(F.coalesce(F.abs("c") > CURVATURE_LIMIT, F.lit(False))).alias("curved"),
+        .otherwise(F.coalesce(F.abs("c") > CURVATURE_LIMIT, F.lit(False))).alias("curved"), "n",
     )
 
 
@@ -132,7 +133,8 @@ def train_from_split(train: DataFrame, test: DataFrame, features: FeatureSet) ->
         return model, errors(model.transform(test), form.target).first()
 
     model, linear = tried(features)
-    curved = curvature(model.transform(train), features.target).first()["curved"]
+    shape = curvature(model.transform(train), features.target).first()
+    curved = shape["curved"]
     chosen, best, poly = features, linear, None
     if curved:
         second = replace(features, degree=2)
@@ -141,7 +143,7 @@ def train_from_split(train: DataFrame, test: DataFrame, features: FeatureSet) ->
             chosen, best = second, poly
     final = pipeline_of(chosen).fit(train.unionByName(test))
     return Trained(final, chosen, {
-        "label": features.label, "target": features.target, "n_train": train.count(),
+        "label": features.label, "target": features.target, "n_train": shape["n"],
         "n_test": best["n"], "mae": best["mae"], "mape_pct": best["mape_pct"],
         "chosen_model": "linear" if chosen.degree == 1 else "polynomial(degree=2)",
         "curvature_detected": bool(curved), "linear_mae": linear["mae"],

@@ -40,19 +40,26 @@ class Workspace:
         return cut(fixtures.base_transactions(self.spark, self.sf_dir))
 
     @cached_property
-    def ledger(self) -> DataFrame:
+    def _ledger_side(self) -> DataFrame:
         return cut(fixtures.ledger_rows(self.spark, self.sf_dir))
 
     @cached_property
-    def bank(self) -> DataFrame:
+    def _bank_side(self) -> DataFrame:
         return cut(fixtures.bank_rows(self.spark, self.sf_dir))
 
-    @cached_property
+    @property
+    def ledger(self) -> DataFrame:
+        """What the matcher sees; which mismatch a row carries is kept for the truth."""
+        return self._ledger_side.drop("kind")
+
+    @property
+    def bank(self) -> DataFrame:
+        return self._bank_side.drop("kind")
+
+    @property
     def kinds(self) -> tuple[DataFrame, DataFrame]:
-        return (
-            cut(fixtures.ledger_kinds(self.spark, self.sf_dir)),
-            cut(fixtures.bank_kinds(self.spark, self.sf_dir)),
-        )
+        own = lambda side: side.selectExpr("txn_id_hint as txn_id", "kind", "row_id")
+        return own(self._ledger_side), own(self._bank_side)
 
     @property
     def ledger_txns(self) -> DataFrame:
@@ -508,10 +515,10 @@ def _narration(w: Workspace) -> DataFrame:
 
 
 def _json_repair(w: Workspace) -> DataFrame:
-    answers = w.raw_answers.select(
+    answers = text.with_clean_json(w.raw_answers, "answer").select(
         "txn_id",
         F.explode_outer(text.answers_by_id(
-            F.col("answer"), "struct<category: string, reasoning: string>"
+            F.col("json"), "struct<category: string, reasoning: string>"
         )).alias("answered_id", "value"),
     )
     return answers.select("txn_id", "answered_id", "value.category", "value.reasoning")
@@ -602,7 +609,9 @@ def _curvature(w: Workspace) -> DataFrame:
     """The curvature test with the table's own fee rate as the prediction."""
     rows = forecast.to_features(w.base).withColumn("prediction", F.col("fee_pct"))
     found = forecast.curvature(rows, "fee_deduction_pct")
-    return found.select(F.round("corr_with_amount_sq", 6).alias("corr_with_amount_sq"), "curved")
+    return found.select(
+        F.round("corr_with_amount_sq", 6).alias("corr_with_amount_sq"), "curved", "n"
+    )
 
 
 def _errors(w: Workspace) -> DataFrame:

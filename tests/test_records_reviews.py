@@ -1,12 +1,11 @@
-import datetime as dt
-
 import pytest
 from pyspark.sql import functions as F
 
 from paisaflow.functions import money, text
 from paisaflow.operators import records, reviews, similarity
 from paisaflow.plans import ask
-from paisaflow.schemas import REVIEW_LOG
+from paisaflow.schemas import EXCEPTIONS, REVIEW_LOG
+from paisaflow.sources import tables
 from tests.helpers import at
 
 RECORD = (
@@ -151,6 +150,23 @@ def test_decision_validation(spark):
     assert set(errors) == {"b", "c", "e"} and "paired_row_id is required" in errors["c"]
 
 
+def test_decisions_survive_a_refresh(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path / "store"))
+    store.init()
+    ask_ = lambda decision: reviews.decide(spark.createDataFrame(
+        [("L1", "ledger", decision)], "row_id string, side string, decision string"
+    ).withColumn("paired_row_id", F.lit(None).cast("string")))[0]
+    store.append("reconciliation_reviews", ask_("approved_match"))
+    store.append("reconciliation_reviews", ask_("written_off"))
+    exceptions = spark.createDataFrame([("L1", "ledger", "o", "r", "e")], EXCEPTIONS)
+    store.replace("reconciliation_exceptions", exceptions)
+    log = store.load("reconciliation_reviews")
+    assert [r.decision for r in reviews.latest_decisions(log).collect()] == ["written_off"]
+    assert reviews.review_counts(store.load("reconciliation_exceptions"), log).first().resolved == 1
+    store.append("reconciliation_reviews", reviews.reopen(log.select("row_id", "side").distinct()))
+    assert reviews.latest_decisions(store.load("reconciliation_reviews")).isEmpty()
+
+
 def one(spark, value, kind, expression):
     return spark.createDataFrame([(value,)], f"v {kind}").select(expression(F.col("v"))).first()[0]
 
@@ -179,7 +195,8 @@ def test_small_texts(spark):
     ("{'a' : 1}", '{"a": 1}'), ("[1, 2", None), ("“x”", '"x"'), ("no", None),
 ])
 def test_json_cleanup(spark, answer, want):
-    assert one(spark, answer, "string", text.clean_json) == want
+    df = spark.createDataFrame([(answer,)], "v string")
+    assert text.with_clean_json(df, "v").first()["json"] == want
 
 
 def test_questions(spark):
