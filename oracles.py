@@ -487,6 +487,8 @@ select txn_id, case when kind < 5 then txn_id end as answered_id,
     when 3 then 'taxable_sale' when 4 then 'taxable_sale' end as category,
   case kind when 0 then 'a' when 1 then 'b' when 2 then 'c' when 3 then 'd' when 4 then 'e' end
     as reasoning from json_texts""",
+    "transactions_in_time_order": """
+select txn_id, created_at, txn_amount from base order by created_at, txn_id""",
     "point_lookup": """
 select txn_id, order_id, txn_amount, status from base where order_id = 'order_7' limit 1""",
     "exact_matches": f"select {_MATCH} from exact",

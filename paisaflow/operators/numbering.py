@@ -24,7 +24,7 @@ def running_counts(
 ) -> DataFrame:
     """For each row, how many earlier rows of its group have each flag set.
 
-    "Earlier" is by ``order`` within ``groups`` (none: over the whole frame). Rows are
+    "Earlier" is by ``order`` within ``groups``. Rows are
     range-partitioned, so a group of any size spreads over tasks; each task counts in its part
     and adds the group's counts in earlier parts, a table with one row per part.
     """
@@ -46,8 +46,6 @@ def running_counts(
     before = totals.select("_part", *groups, *[
         F.coalesce(F.sum(f"_all_{n}").over(earlier), none).alias(f"_before_{n}") for n in names
     ])
-    if not groups:
-        before = _small(before)
     inside = placed.withColumns({
         f"_here_{n}": F.coalesce(F.sum(f"_is_{n}").over(here), none) for n in names
     })
@@ -59,8 +57,28 @@ def running_counts(
 def rank_in_groups(
     df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "rank"
 ) -> DataFrame:
-    """Zero-based rank in ``order`` within ``groups`` (none: over the whole frame)."""
-    return running_counts(df, groups, order, {name: F.lit(1)})
+    """Zero-based rank in ``order`` within ``groups`` (none: over the whole frame).
+
+    As ``running_counts``, but a row's place in its part is read off the row's sequence number,
+    so the rows are shuffled and sorted once.
+    """
+    placed = cut(
+        df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+        .withColumn("_seq", F.monotonically_increasing_id())
+    ).withColumn("_part", F.shiftright("_seq", 33))
+    parts = placed.groupBy("_part", *groups).agg(
+        F.count("*").alias("_n"), F.min("_seq").alias("_first")
+    )
+    earlier = (
+        Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = parts.select(
+        "_part", *groups, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    place = F.col("_before") + F.col("_seq") - F.col("_first")
+    return placed.join(before if groups else _small(before), ["_part", *groups]).select(
+        *df.columns, place.cast("bigint").alias(name)
+    )
 
 
 def file_row_number(scan: DataFrame, name: str = "row_num") -> DataFrame:

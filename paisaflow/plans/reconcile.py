@@ -11,7 +11,7 @@ from paisaflow.operators.adjudicate import open_items, refused_candidates, resol
 from paisaflow.operators.exact import exact_match
 from paisaflow.operators.fuzzy import fuzzy_match
 from paisaflow.operators.keys import find_hot_keys
-from paisaflow.session import cut
+from paisaflow.session import cut, side_by_side
 
 
 class Reconciliation(NamedTuple):
@@ -43,9 +43,9 @@ def reconcile(
     if isinstance(hot_keys, str):
         hot_keys = find_hot_keys(ledger, bank)
     first = exact_match(ledger, bank, keep=keep)
-    l1, b1 = keep(first.ledger_rest), keep(first.bank_rest)
+    l1, b1 = side_by_side(keep, first.ledger_rest, first.bank_rest)
     second = fuzzy_match(l1, b1, hot_keys, keep=keep)
-    l2, b2 = keep(second.ledger_rest), keep(second.bank_rest)
+    l2, b2 = side_by_side(keep, second.ledger_rest, second.bank_rest)
     items = keep(open_items(l2, b2, hot_keys))
     third = resolve(items, resolutions)
     exceptions = third.exceptions

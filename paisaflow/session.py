@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(
+    step: Callable[[DataFrame], DataFrame], *frames: DataFrame
+) -> list[DataFrame]:
+    """``step`` on independent frames at once: their jobs share the executors, so one job's
+    last tasks do not leave the rest of the cluster idle."""
+    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        return list(pool.map(step, frames))

@@ -1,0 +1 @@
+"""Daily totals kept up to date over a stream of transactions."""

@@ -21,7 +21,7 @@ from paisaflow.operators.keys import find_hot_keys
 from paisaflow.operators.numbering import rank_in_groups
 from paisaflow.plans import cash, forecast, learning_curve, reconcile, status, upload
 from paisaflow.schemas import RESOLUTIONS
-from paisaflow.session import cut
+from paisaflow.session import cut, side_by_side
 from paisaflow.sources import csv_rows, gateway, narration, normalize
 
 REFERENCE_DAY = "1996-06-03"
@@ -36,16 +36,21 @@ class Workspace:
         return fixtures.read(self.spark, self.sf_dir, name)
 
     @cached_property
+    def _stored(self) -> list[DataFrame]:
+        make = (fixtures.base_transactions, fixtures.ledger_rows, fixtures.bank_rows)
+        return side_by_side(cut, *[m(self.spark, self.sf_dir) for m in make])
+
+    @property
     def base(self) -> DataFrame:
-        return cut(fixtures.base_transactions(self.spark, self.sf_dir))
+        return self._stored[0]
 
-    @cached_property
+    @property
     def _ledger_side(self) -> DataFrame:
-        return cut(fixtures.ledger_rows(self.spark, self.sf_dir))
+        return self._stored[1]
 
-    @cached_property
+    @property
     def _bank_side(self) -> DataFrame:
-        return cut(fixtures.bank_rows(self.spark, self.sf_dir))
+        return self._stored[2]
 
     @property
     def ledger(self) -> DataFrame:
@@ -76,14 +81,18 @@ class Workspace:
     @cached_property
     def tier1(self) -> exact.MatchSplit:
         split = exact.exact_match(self.ledger_txns, self.bank_txns, keep=cut)
-        return exact.MatchSplit(split.matches, cut(split.ledger_rest), cut(split.bank_rest))
+        return exact.MatchSplit(
+            split.matches, *side_by_side(cut, split.ledger_rest, split.bank_rest)
+        )
 
     @cached_property
     def tier2(self) -> exact.MatchSplit:
         split = fuzzy.fuzzy_match(
             self.tier1.ledger_rest, self.tier1.bank_rest, self.hot_keys, keep=cut
         )
-        return exact.MatchSplit(split.matches, cut(split.ledger_rest), cut(split.bank_rest))
+        return exact.MatchSplit(
+            split.matches, *side_by_side(cut, split.ledger_rest, split.bank_rest)
+        )
 
     @cached_property
     def items(self) -> DataFrame:
@@ -620,6 +629,15 @@ def _errors(w: Workspace) -> DataFrame:
     return e.select("n", *[F.round(c, 6).alias(c) for c in ("mae", "mape_pct", "rmse")])
 
 
+def _residuals(w: Workspace) -> DataFrame:
+    """Held-out residuals of the settlement-time model in 20 bins."""
+    rows = _features(w)
+    trained = forecast.train_transaction_model(rows, forecast.DAYS_TO_SETTLE)
+    held_out = trained.model.transform(rows.filter(forecast.is_test_row()))
+    found = forecast.residuals(held_out, "days_to_settle")
+    return stats.equal_width_histogram(found, F.col("residual"))
+
+
 def _semantic(w: Workspace) -> DataFrame:
     texts = similarity.index_texts(w.records)
     model = similarity.tfidf_model(texts)
@@ -655,6 +673,9 @@ QUERIES: dict[str, Query] = {
     "calibration_rows": lambda w: gateway.calibration_rows(w.gateway_txns),
     "narration": _narration,
     "json_repair": _json_repair,
+    "transactions_in_time_order": lambda w: w.base.orderBy("created_at", "txn_id").select(
+        "txn_id", "created_at", "txn_amount"
+    ),
     "point_lookup": lambda w: w.base.filter(F.col("order_id") == "order_7").limit(1).select(
         "txn_id", "order_id", "txn_amount", "status"
     ),
@@ -810,6 +831,7 @@ QUERIES: dict[str, Query] = {
     "next_day_gmv": _next_day_gmv,
     "learning_curve": _learning_curve,
     "model_cashflow": _model_cashflow,
+    "model_residuals": _residuals,
 }
 
 _open: dict[tuple[str, str], Workspace] = {}
