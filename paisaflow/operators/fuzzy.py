@@ -15,7 +15,8 @@ from paisaflow.schemas import FUZZY_TOLERANCE, Tolerance
 def fuzzy_candidates(
     ledger: DataFrame, bank: DataFrame, tolerance: Tolerance = FUZZY_TOLERANCE
 ) -> DataFrame:
-    """Every same-order pair inside the bands, with its score."""
+    """Every same-order pair inside the bands, with its score: a view for inspection.
+    ``fuzzy_match`` does not list the pairs of hot keys."""
     return pairing.same_key_edges(
         with_order_key(ledger), with_order_key(bank), pairing.fuzzy_cost(tolerance),
         pairing.in_band(tolerance),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from paisaflow.functions.frames import one_row
 from paisaflow.schemas import TIER_ORDER, TIER_TOLERANCES
 
 
@@ -50,26 +51,31 @@ def flag_sums(df: DataFrame, *flags: str) -> DataFrame:
     return df.agg(*[F.sum(F.col(f).cast("int")).alias(f) for f in flags])
 
 
-def describe(df: DataFrame, column: str) -> DataFrame:
-    """Count, mean, sample deviation, extremes and interpolated quartiles."""
-    quartiles = F.percentile(column, [0.25, 0.5, 0.75])
-    return df.agg(
-        F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev(column).alias("std"),
-        F.min(column).alias("low"), F.max(column).alias("high"), quartiles.alias("q"),
+def _quartiles(counts: DataFrame, column: str, *by: str) -> DataFrame:
+    """Interpolated quartiles from a table of value counts: what one task holds is a group's
+    distinct values, whatever the number of rows."""
+    q = F.percentile(column, [0.25, 0.5, 0.75], F.col("rows"))
+    return counts.groupBy(*by).agg(
+        F.min(column).alias("low"), q.alias("q"), F.max(column).alias("high")
     ).select(
-        "n", "mean", "std", "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"),
+        *by, "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"),
         F.col("q")[2].alias("q75"), "high",
     )
 
 
-def quartiles_by(df: DataFrame, column: str, by: str) -> DataFrame:
-    return df.groupBy(by).agg(
-        F.min(column).alias("low"),
-        F.percentile(column, [0.25, 0.5, 0.75]).alias("q"), F.max(column).alias("high"),
-    ).select(
-        by, "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"),
-        F.col("q")[2].alias("q75"), "high",
+def describe(df: DataFrame, column: str) -> DataFrame:
+    """Count, mean, sample deviation, extremes and interpolated quartiles of a column with
+    few distinct values, such as a number of days."""
+    moments = df.agg(
+        F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev(column).alias("std")
     )
+    return one_row(moments, _quartiles(count_by(df, column), column)).select(
+        "n", "mean", "std", "low", "q25", "q50", "q75", "high"
+    )
+
+
+def quartiles_by(df: DataFrame, column: str, by: str) -> DataFrame:
+    return _quartiles(count_by(df, by, column), column, by)
 
 
 def integer_histogram(df: DataFrame, column: str) -> DataFrame:

@@ -192,17 +192,21 @@ class Workspace:
     def csv_ledger(self) -> DataFrame:
         """The ledger as raw text in mixed formats, with blanks and faults."""
         k = KEY_NUMBER
-        raw = self.ledger.selectExpr(
+        at = "cast(timestamp as string)"
+        day_first = (
+            f"concat(substring({at}, 9, 2), '/', substring({at}, 6, 2), '/', left({at}, 4))"
+        )
+        raw = self.ledger.withColumn("day_first", F.expr(day_first)).selectExpr(
             "row_id as line", f"if({k} % 7 = 0, '  ', row_id) as row_id",
             f"if({k} % 11 = 0, ' ', order_id) as order_id",
             f"case when {k} % 97 = 0 then '' when {k} % 89 = 0 then 'nan'"
             f" when {k} % 83 = 0 then 'n/a' else cast(cast(amount as decimal(18,2)) as string)"
             " end as amount",
             f"case when {k} % 101 = 0 then null when {k} % 103 = 0 then 'soon'"
-            f" else case {k} % 4 when 0 then date_format(timestamp, \"yyyy-MM-dd'T'HH:mm:ss\")"
-            " when 1 then date_format(timestamp, 'yyyy-MM-dd HH:mm:ss')"
-            " when 2 then date_format(timestamp, 'dd/MM/yyyy HH:mm:ss')"
-            " else date_format(timestamp, 'dd/MM/yyyy') end end as timestamp",
+            f" else case {k} % 4 when 0 then replace(cast(timestamp as string), ' ', 'T')"
+            " when 1 then cast(timestamp as string)"
+            " when 2 then concat(day_first, substring(cast(timestamp as string), 11))"
+            " else day_first end end as timestamp",
             f"if({k} % 5 = 0, '', payment_method) as payment_method",
             "cast(cast(fee_amount as decimal(18,2)) as string) as fee_amount",
             f"if({k} % 13 = 0, '-', cast(cast(tax_on_fee as decimal(18,2)) as string))"
@@ -219,7 +223,7 @@ class Workspace:
         raw = self.bank.selectExpr(
             "row_id as line", f"if({k} % 7 = 0, '', row_id) as row_id", "order_id",
             f"if({k} % 97 = 0, '', cast(cast(amount as decimal(18,2)) as string)) as amount",
-            f"if({k} % 101 = 0, '', date_format(timestamp, 'yyyy-MM-dd HH:mm:ss')) as timestamp",
+            f"if({k} % 101 = 0, '', cast(timestamp as string)) as timestamp",
             f"if({k} % 19 = 0, ' ', utr_reference) as utr_reference",
         )
         numbered = rank_in_groups(raw, [], ["line"], "position")
