@@ -178,7 +178,11 @@ def pair_nearest(ledger: DataFrame, bank: DataFrame) -> DataFrame:
                 F.struct(F.lit("b").alias("side"), F.col("b_id").alias("id")),
             )).alias("u")
         ).select("u.*")
-        open_points = cut(open_points.join(used, ["side", "id"], "left_anti"))
+        # a run without neighbours is all that is left of its key
+        still = rows.filter((F.col("left_rows") > 0) | (F.col("right_rows") > 0))
+        open_points = cut(
+            still.select("order_key", "side", "id", "v").join(used, ["side", "id"], "left_anti")
+        )
     pairs = reduce(DataFrame.unionByName, rounds, settled)  # the last round is empty
     l = pairing.ledger_points(ledger).drop("order_key")
     b = pairing.bank_points(bank).drop("order_key")
