@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from paisaflow.llm import exact_dedup, mixing, sharding
+from paisaflow.llm import exact_dedup, mixing, near_dedup, sharding
 
 QUERIES = {
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_sharding": sharding.op9_sharding,
 }
 
 ORACLES = {
+    "op2_near_dedup": near_dedup.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
