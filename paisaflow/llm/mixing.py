@@ -194,7 +194,8 @@ def mix(
         (F.least("stop", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block))
         .alias("words"),
     )
-    plan = slots(targets, block).select(F.col("source").alias("s_source"), "slot", "rank")
+    # stored, so that the join is planned with its true size and not that of the few sources
+    plan = cut(slots(targets, block)).select(F.col("source").alias("s_source"), "slot", "rank")
     taken = pieces.join(
         plan, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") == F.col("rank"))
     ).select("slot", "source", "offset", "from_word", "words")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from paisaflow.llm import exact_dedup, mixing, near_dedup, sharding
+from paisaflow.llm import decontamination, exact_dedup, mixing, near_dedup, sharding
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_decontamination": decontamination.OP1_SQL,
     "op2_near_dedup": near_dedup.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
