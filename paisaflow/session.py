@@ -49,16 +49,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and continue from its files.
 
     Later steps read only the columns they need and plan with true sizes, and a lost executor
-    costs a re-read instead of the whole chain of earlier steps.
+    costs a re-read instead of the whole chain of earlier steps. The shuffle files of the job
+    are not needed once the table is there and go at once.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that no later step reads; other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "_cut_path", None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def side_by_side(
