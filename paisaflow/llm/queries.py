@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from paisaflow.llm import decontamination, exact_dedup, mixing, near_dedup, sharding
+from paisaflow.llm import (
+    decontamination, exact_dedup, mixing, near_dedup, sharding, substring_dedup, suffix_array_dedup,
+)
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op4_suffix_array_dedup": suffix_array_dedup.op4_suffix_array_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op9_sharding": sharding.op9_sharding,
 }
 
