@@ -52,6 +52,8 @@ def _byte_table(fold: bool) -> np.ndarray:
 _TABLES = {fold: _byte_table(fold) for fold in (False, True)}
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: all ASCII but digits and letters
+NOT_ALPHANUMERIC = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -97,14 +99,14 @@ def range_hash(sums, inverse, start, end) -> np.ndarray:
     return mix((sums[end] - sums[start]) * inverse[start] + size)
 
 
-def words(chunk: Chunk, fold: bool = False) -> Words:
-    """Runs of bytes other than ``[\\x20\\x09-\\x0D]``; ``fold`` hashes A-Z as a-z."""
+def words(chunk: Chunk, fold: bool = False, between: np.ndarray = _SPACE) -> Words:
+    """Runs of bytes other than those ``between`` marks; ``fold`` hashes A-Z as a-z."""
     data, offsets = chunk.data, chunk.offsets
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(none.astype(np.uint64), none, none, np.zeros(chunk.rows + 1, np.int64))
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     begins = inside.copy()
