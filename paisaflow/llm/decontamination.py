@@ -165,6 +165,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
+    """The rows of ``docs`` without any window of the benchmark, with all their columns."""
+    bad = decontaminate(docs, benchmark, window).filter("contaminated").select(
+        F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")
+    )
+    return docs.withColumn("__own", F.xxhash64("text")).join(
+        bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left_anti"
+    ).drop("__own")
+
+
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("fp")
 

@@ -24,9 +24,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from paisaflow.llm.frames import n_words
+from paisaflow.llm.frames import documents, n_words
 from paisaflow.session import cut
 
 WEIGHTS = (5, 2, 1)
@@ -133,13 +133,14 @@ def schedule_rank(point, low, high, bits) -> pd.DataFrame:
     return pd.DataFrame({"slot": slot, "rank": rank})
 
 
+def shuffle_key() -> Column:
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return F.md5(F.concat(name, F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
+
+
 def sized_rows(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and the shuffle key, stored: all that the mix needs of a row."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    return cut(docs.select(
-        "doc_id", "source", n_words().alias("size"),
-        F.md5(F.concat(name, F.lit(":"), F.coalesce("text", F.lit("")))).alias("key"),
-    ))
+    return cut(docs.select("doc_id", "source", n_words().alias("size"), shuffle_key().alias("key")))
 
 
 def on_axis(rows: DataFrame) -> DataFrame:
@@ -215,9 +216,27 @@ def taken_words(placed: DataFrame, pieces: DataFrame) -> DataFrame:
     ).drop("p_source", "p_offset").withColumn("taken", F.coalesce("taken", F.lit(0).cast("bigint")))
 
 
-def op3_mixing(spark, sf_dir: str) -> DataFrame:
-    from paisaflow.llm.frames import documents
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` repeated as the mix takes them, with all their columns.
 
+    The one document of a source that the mix ends in counts as taken. Rows that repeat
+    ``doc_id``, source and text pool their copies.
+    """
+    placed, pieces = mix(docs, **settings)
+    copies = taken_words(placed, pieces).filter("taken > 0").groupBy("doc_id", "source", "key").agg(
+        F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__copies")
+    ).select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("key").alias("__key"), "__copies"
+    )
+    one = docs.withColumn("__own", shuffle_key()).dropDuplicates(["doc_id", "source", "__own"])
+    return one.join(
+        copies,
+        F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
+        & (F.col("__own") == F.col("__key")),
+    ).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+
+
+def op3_mixing(spark, sf_dir: str) -> DataFrame:
     placed, pieces = mix(documents(spark, sf_dir))
     return taken_words(placed, pieces).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -208,10 +208,13 @@ def probabilities(net: Network, chunk: Chunk) -> np.ndarray:
     return _sigmoid(_logits(net, pooled(net.vectors, chunk.rows, *text_words(chunk))) / net.temperature)
 
 
+SCORE = "__quality_score"
+
+
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score`` of every row."""
+    """All columns of ``docs`` and ``SCORE`` of every row."""
     if net is None:
-        return docs.withColumn("quality_score", F.lit(1.0))
+        return docs.withColumn(SCORE, F.lit(1.0))
 
     @F.pandas_udf("double")
     def rate(text):
@@ -220,7 +223,12 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
         parts = [probabilities(net, chunk) for chunk in chunks(pa.array(text, pa.string()))]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.withColumn("quality_score", rate(F.coalesce("text", F.lit(""))))
+    return docs.withColumn(SCORE, rate(F.coalesce("text", F.lit(""))))
+
+
+def filtered(docs: DataFrame, net: Network | None) -> DataFrame:
+    """The rows of ``docs`` that reach the threshold, as they are."""
+    return score(docs, net).filter(F.col(SCORE) >= THRESHOLD).drop(SCORE)
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Network | None:
@@ -231,6 +239,6 @@ def op10_quality(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs.select("doc_id", "text"), net).select(
-        "doc_id", held_out(5, 0).alias("held_out"), F.col("quality_score").alias("score"),
-        (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"),
+        "doc_id", held_out(5, 0).alias("held_out"), F.col(SCORE).alias("score"),
+        (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"),
     )

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from paisaflow.llm.frames import n_words
+from paisaflow.llm.frames import documents, n_words
 from paisaflow.operators.numbering import rank_in_groups
 from paisaflow.session import cut
 
@@ -92,10 +92,13 @@ def numbered(placed: DataFrame) -> DataFrame:
     return rank_in_groups(placed, ["shard"], ["doc_id", "group"], "slot")
 
 
-def op9_sharding(spark, sf_dir: str) -> DataFrame:
-    from paisaflow.llm.frames import documents
-
-    return numbered(shard(documents(spark, sf_dir))).select(
+def sharded(docs: DataFrame) -> DataFrame:
+    """Every row with its shard and slot, and the law that holds."""
+    return numbered(shard(docs)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "tokens",
     )
+
+
+def op9_sharding(spark, sf_dir: str) -> DataFrame:
+    return sharded(documents(spark, sf_dir))
