@@ -63,8 +63,9 @@ def source_targets(
             - max_repeats * (F.col("size_to") - F.col("source_size"))
         ) / (F.col("all_weight") - F.col("weight_to") + F.col("weight")),
     }).withColumn("full", F.col("before") * F.col("weight") >= max_repeats * F.col("source_size"))
-    # sources stop in the order of their ratio; the first that does not gives the level of all others
-    level = F.min(F.when(~F.col("full"), F.col("before"))).over(everything)
+    # sources stop in the order of their ratio; the first that does not gives the level of all
+    # others, and it is the highest: those after it are reckoned as if it had stopped
+    level = F.max(F.when(~F.col("full"), F.col("before"))).over(everything)
     return levels.withColumn("common", level).select(
         "source", "source_size",
         F.when(F.col("full"), max_repeats * F.col("source_size").cast("double"))
@@ -265,7 +266,7 @@ with sized as (
 ), targets as (
   select source, source_size,
     case when is_full then {MAX_REPEATS} * cast(source_size as double)
-      else (min(case when not is_full then before end) over ()) * weight end as target
+      else (max(case when not is_full then before end) over ()) * weight end as target
   from marked
 ), axis as (
   select d.doc_id, d.size, t.source_size, t.target, cast(floor(t.target) as bigint) as goal,
