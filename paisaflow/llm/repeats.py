@@ -8,8 +8,8 @@ grams in it: equal windows have equal minima. So
    that occur once are dropped: none of their windows can occur twice;
 3. texts get back the minima that remain, and each run of windows with one such minimum becomes a
    *piece*, sent by its minimum: all equal windows meet in one task. Equal pieces combine first;
-4. pieces of a minimum with too many bytes are cut into single windows and sent by the window's
-   own hash instead, so no group outgrows a task however common its minimum is;
+4. pieces of a minimum with too many bytes are cut anew by longer grams, in the end by whole
+   windows, so no group outgrows a task however common its minimum is;
 5. the operator's own index over the pieces of a task tells which windows are repeats (``marks``);
 6. marks go back to the pieces' places, and spans to their texts.
 """
@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from paisaflow.llm.frames import by_batch
-from paisaflow.llm.words import Chunk, chunks, mix, prefix_hashes, sequence_hash, words
+from paisaflow.llm.words import CHUNK_BYTES, Chunk, chunks, mix, prefix_hashes, sequence_hash, words
 from paisaflow.session import cut, forget
 
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 PIECE_WINDOWS = 2_048
 GROUP_BYTES = 1 << 20
 LAST_ID = (1 << 63) - 1
@@ -81,7 +81,7 @@ class Method(NamedTuple):
     """What the two operators differ in."""
     windows: Callable[[Chunk, int, int], Windows]
     window: int
-    gram: int
+    grams: tuple[int, ...]   # the first is used for all texts, the last is the window
     within_text: bool     # does a second place in the same text make a repeat?
 
 
@@ -113,10 +113,31 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 _BLOB = pa.schema([("part", pa.int64()), ("tids", pa.binary()), ("hashes", pa.binary())])
 
 
+def _bucket(tid: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(tid.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _blobs(part: np.ndarray, tid: np.ndarray, value: np.ndarray) -> dict:
+    """One row per part: its values and their texts, packed."""
+    order = np.argsort(part, kind="stable")
+    part, tid, value = part[order], tid[order], value[order]
+    begin, end = _runs(part)
+    return {
+        "part": part[begin], "tids": [tid[a:b].tobytes() for a, b in zip(begin, end)],
+        "hashes": [value[a:b].tobytes() for a, b in zip(begin, end)],
+    }
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    tid = np.frombuffer(b"".join(table.column("tids").to_pylist()), np.int64)
+    return tid, np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
+
+
 def _minima_blobs(batch: pa.RecordBatch, method: Method, parts: int) -> Iterator[dict]:
     ids = batch.column("tid").to_numpy(zero_copy_only=False)
+    gram = method.grams[0]
     for chunk in chunks(batch.column("text")):
-        win = method.windows(chunk, method.window, method.gram)
+        win = method.windows(chunk, method.window, gram)
         values, owners = [], []
         for i, (lo, hi) in enumerate(zip(win.first[:-1], win.first[1:])):
             if hi - lo < method.window:
@@ -124,52 +145,34 @@ def _minima_blobs(batch: pa.RecordBatch, method: Method, parts: int) -> Iterator
             own = win.minima[lo:hi - method.window + 1]
             value = np.unique(own[_runs(own)[0]])
             if method.within_text:
-                grams, times = np.unique(win.grams[lo:hi - method.gram + 1], return_counts=True)
+                grams, times = np.unique(win.grams[lo:hi - gram + 1], return_counts=True)
                 value = np.concatenate([value, value[times[np.searchsorted(grams, value)] > 1]])
             values.append(value)
             owners.append(np.full(len(value), ids[chunk.first + i], np.int64))
-        if not values:
-            continue
-        value, owner = np.concatenate(values), np.concatenate(owners)
-        part = (value % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        value, owner, part = value[order], owner[order], part[order]
-        begin, end = _runs(part)
-        yield {
-            "part": part[begin],
-            "tids": [owner[a:b].tobytes() for a, b in zip(begin, end)],
-            "hashes": [value[a:b].tobytes() for a, b in zip(begin, end)],
-        }
-
-
-def _shared_minima(table: pa.Table) -> pa.Table:
-    """Of one part: the values that occur again, listed per text."""
-    value = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
-    owner = np.frombuffer(b"".join(table.column("tids").to_pylist()), np.int64)
+        if values:
+            value = np.concatenate(values)
+            yield _blobs((value % np.uint64(parts)).astype(np.int64), np.concatenate(owners), value)
+
+
+def _shared(table: pa.Table, parts: int) -> pa.Table:
+    """Of one part: the values that occur again, packed by the bucket of their text."""
+    tid, value = _unpacked(table)
     order = np.argsort(value, kind="stable")
-    value, owner = value[order], owner[order]
+    value, tid = value[order], tid[order]
     same = value[1:] == value[:-1]
     again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    value, owner = value[again], owner[again]
-    order = np.argsort(owner, kind="stable")
-    value, owner = value[order], owner[order]
-    if not len(owner):
-        return pa.table({"tid": pa.array([], pa.int64()), "minima": pa.array([], pa.binary())})
-    begin, end = _runs(owner)
-    return pa.table({
-        "tid": pa.array(owner[begin]),
-        "minima": pa.array([np.unique(value[a:b]).tobytes() for a, b in zip(begin, end)], pa.binary()),
-    })
-
-
-def shared_minima(texts: DataFrame, method: Method) -> DataFrame:
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
+    value, tid = value[again], tid[again]
+    if not len(tid):
+        return _BLOB.empty_table()
+    return pa.table(_blobs(_bucket(tid, parts), tid, value), schema=_BLOB)
+
+
+def shared_minima(texts: DataFrame, method: Method, parts: int) -> DataFrame:
+    packed = "part long, tids binary, hashes binary"
     blobs = texts.select("tid", "text").mapInArrow(
-        by_batch(lambda batch: _minima_blobs(batch, method, parts), _BLOB),
-        "part long, tids binary, hashes binary",
+        by_batch(lambda batch: _minima_blobs(batch, method, parts), _BLOB), packed
     )
-    return cut(blobs.groupBy("part").applyInArrow(_shared_minima, "tid long, minima binary"))
+    return cut(blobs.groupBy("part").applyInArrow(lambda table: _shared(table, parts), packed))
 
 
 # ---- step 3 and 4 -----------------------------------------------------------------------------
@@ -180,76 +183,99 @@ _PIECE = pa.schema([
 ])
 
 
-def _pieces(batch: pa.RecordBatch, method: Method) -> Iterator[dict]:
-    ids, order_, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tid", "d", "copies"))
-    shared = batch.column("minima").to_pylist()
-    for chunk in chunks(batch.column("text")):
-        win = method.windows(chunk, method.window, method.gram)
-        out = {f.name: [] for f in _PIECE}
+def _pieces(rows: pa.RecordBatch | pa.Table, method: Method, gram: int, known) -> Iterator[dict]:
+    """Runs of windows with one minimum; ``known`` gives the minima that count in a row, or is None."""
+    ids, order_, copies, starts = (rows.column(c).to_numpy() for c in ("tid", "d", "copies", "start"))
+    for chunk in chunks(rows.column("content")):
+        win = method.windows(chunk, method.window, gram)
+        out, held = {f.name: [] for f in _PIECE}, 0
         for i, (lo, hi) in enumerate(zip(win.first[:-1].tolist(), win.first[1:].tolist())):
             row = chunk.first + i
             if hi - lo < method.window:
                 continue
-            known = np.unique(np.frombuffer(b"".join(shared[row]), np.uint64))
             begin, end = _runs(win.minima[lo:hi - method.window + 1])
             value = win.minima[lo + begin]
-            hit = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
-            for a, b, key in zip(begin[hit].tolist(), end[hit].tolist(), value[hit].view(np.int64).tolist()):
+            if known is not None:
+                own = known(ids[row])
+                if not len(own):
+                    continue
+                hit = own[np.minimum(np.searchsorted(own, value), len(own) - 1)] == value
+                begin, end, value = begin[hit], end[hit], value[hit]
+            for a, b, key in zip(begin.tolist(), end.tolist(), value.view(np.int64).tolist()):
                 for at in range(a, b, PIECE_WINDOWS):
                     stop = min(at + PIECE_WINDOWS, b) + method.window - 1
                     out["key"].append(key)
                     out["tid"].append(ids[row])
                     out["d"].append(order_[row])
                     out["copies"].append(copies[row])
-                    out["start"].append(at)
+                    out["start"].append(starts[row] + at)
                     out["content"].append(win.content(lo + at, lo + stop))
+                    held += 100 + len(out["content"][-1])
+                    if held > 4 * CHUNK_BYTES:
+                        yield out
+                        out, held = {f.name: [] for f in _PIECE}, 0
         if out["key"]:
             yield out
 
 
-def pieces_of(texts: DataFrame, shared: DataFrame, method: Method) -> DataFrame:
-    per_text = shared.groupBy("tid").agg(F.collect_list("minima").alias("minima"))
-    return cut(texts.select("tid", "d", "copies", "text").join(per_text, "tid").mapInArrow(
-        by_batch(lambda batch: _pieces(batch, method), _PIECE),
-        "key long, tid long, d long, copies long, start long, content binary",
-    ).withColumn("ck", F.xxhash64("content")))
+_PIECE_DDL = "key long, tid long, d long, copies long, start long, content binary"
+
+
+def pieces_of(texts: DataFrame, shared: DataFrame, method: Method, parts: int) -> DataFrame:
+    """Texts meet their minima in buckets of a bounded number of bytes."""
+    @F.pandas_udf("long")
+    def bucket(tid):
+        import pandas as pd
 
+        return pd.Series(_bucket(tid.to_numpy(np.int64), parts))
 
-def _single_windows(pieces: DataFrame, method: Method) -> DataFrame:
-    """Each window of the pieces as a piece of its own, sent by its own hash."""
-    schema = pa.schema([*list(_PIECE)])
-
-    def split(batch):
-        out = {f.name: [] for f in _PIECE}
-        for row in batch.to_pylist():
-            content = row["content"]
-            if method.windows is byte_windows:
-                spans = [content[i:i + method.window] for i in range(len(content) - method.window + 1)]
-            else:
-                w = content.split(b" ")
-                spans = [b" ".join(w[i:i + method.window]) for i in range(len(w) - method.window + 1)]
-            for i, span in enumerate(spans):
-                for c in ("tid", "d", "copies"):
-                    out[c].append(row[c])
-                out["start"].append(row["start"] + i)
-                out["key"].append(0)
-                out["content"].append(span)
-        yield out
-
-    return pieces.select(*schema.names).mapInArrow(
-        by_batch(split, schema), "key long, tid long, d long, copies long, start long, content binary"
-    ).withColumn("ck", F.xxhash64("content")).withColumn("key", F.col("ck"))
+    def cut_texts(own: pa.Table, blobs: pa.Table) -> pa.Table:
+        if not own.num_rows or not blobs.num_rows:
+            return _PIECE.empty_table()
+        tid, value = _unpacked(blobs)
+        order = np.lexsort((value, tid))
+        tid, value = tid[order], value[order]
+
+        def known(i):
+            lo, hi = np.searchsorted(tid, [i, i + 1])
+            return value[lo:hi]
+
+        return pa.Table.from_batches([
+            pa.RecordBatch.from_pydict(out, schema=_PIECE)
+            for out in _pieces(own.combine_chunks(), method, method.grams[0], known)
+        ], schema=_PIECE)
+
+    own = texts.select(
+        bucket("tid").alias("part"), "tid", "d", "copies", F.lit(0).cast("long").alias("start"),
+        F.col("text").cast("binary").alias("content"),
+    )
+    return cut(own.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(
+        cut_texts, _PIECE_DDL
+    ).withColumn("ck", F.xxhash64("content")))
 
 
 def bounded_pieces(pieces: DataFrame, method: Method, limit: int = GROUP_BYTES) -> DataFrame:
-    """The pieces, those of a minimum with over ``limit`` bytes of different ones cut further."""
-    heavy = cut(pieces.groupBy("key", "ck").agg(F.first(F.octet_length("content")).alias("b")).groupBy("key").agg(
-        F.sum("b").alias("b")
-    ).filter(F.col("b") > limit).select("key"))
-    if not heavy.limit(1).count():
+    """The pieces, those of a minimum with over ``limit`` bytes of different ones cut by longer grams.
+
+    Grams as long as the window leave only equal pieces under one minimum.
+    """
+    done = []
+    for gram in method.grams[1:]:
+        heavy = cut(pieces.groupBy("key", "ck").agg(
+            F.first(F.octet_length("content")).alias("b")
+        ).groupBy("key").agg(F.sum("b").alias("b")).filter(F.col("b") > limit).select("key"))
+        if not heavy.limit(1).count():
+            break
+        done.append(pieces.join(heavy, "key", "left_anti"))
+        again = by_batch(lambda batch, gram=gram: _pieces(batch, method, gram, None), _PIECE)
+        pieces = cut(pieces.join(heavy, "key", "left_semi").select(*_PIECE.names).mapInArrow(
+            again, _PIECE_DDL
+        ).withColumn("ck", F.xxhash64("content")))
+    if not done:
         return pieces
-    whole = pieces.join(heavy, "key", "left_anti")
-    return cut(whole.unionByName(_single_windows(pieces.join(heavy, "key", "left_semi"), method)))
+    for part in done:
+        pieces = pieces.unionByName(part)
+    return cut(pieces)
 
 
 # ---- steps 5 and 6 ----------------------------------------------------------------------------
@@ -315,8 +341,10 @@ def repeated_spans(texts: DataFrame, method: Method, index, counts, limit: int =
         ("key", pa.int64()), ("ck", pa.int64()), ("from", pa.list_(pa.int64())),
         ("to", pa.list_(pa.int64())), ("g", pa.list_(pa.int64())),
     ])
-    shared = shared_minima(texts, method)
-    every = pieces_of(texts, shared, method)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    shared = shared_minima(texts, method, parts)
+    every = pieces_of(texts, shared, method, parts)
     forget(shared)
     pieces = bounded_pieces(every, method, limit)
     if pieces is not every:

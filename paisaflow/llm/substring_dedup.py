@@ -3,7 +3,7 @@
 All suffixes of the corpus would be one tree. It is cut by prefixes: of each window only the
 suffix at its smallest 8-word gram is looked at, that gram is the prefix its group goes by, and
 prefixes that occur once are dropped before any text moves (steps 1 to 4 of ``repeats``). The
-prefix of a group too large for a task is lengthened to the whole window. A task builds the
+prefix of a group too large for a task is lengthened to 20 words, then to the whole window. A task builds the
 subtree of its groups in array form: leaves (suffixes) in order and, between neighbours, the depth
 of the node that joins them. A node of 35 words or deeper with two places under it is a repeat,
 and every word of its windows goes, the first place included.
@@ -29,8 +29,8 @@ from paisaflow.llm.suffix_array_dedup import merged
 from paisaflow.llm.words import chunks, words
 from paisaflow.session import cut, forget
 
-WINDOW, GRAM = 35, 8
-METHOD = Method(word_windows, WINDOW, GRAM, within_text=True)
+WINDOW, GRAMS = 35, (8, 20, 35)
+METHOD = Method(word_windows, WINDOW, GRAMS, within_text=True)
 
 
 def neighbour_depths(order: np.ndarray, levels, left: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from paisaflow.llm.repeats import (
 )
 from paisaflow.session import cut, forget
 
-WINDOW, GRAM = 50, 24
+WINDOW, GRAMS = 50, (24, 40, 50)
 
 
 def open_boundaries(symbol: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
@@ -92,7 +92,7 @@ def index_pieces(table: pa.Table, window: int = WINDOW):
     yield mark_columns(table, piece[lo], lo - zero, hi - zero, g[lo])
 
 
-METHOD = Method(byte_windows, WINDOW, GRAM, within_text=False)
+METHOD = Method(byte_windows, WINDOW, GRAMS, within_text=False)
 _KEPT = pa.schema([
     ("sha", pa.binary()), ("t_d", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
     ("n_spans", pa.int64()), ("kept_sha256", pa.string()),

@@ -72,7 +72,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """The texts in order, null as empty, about ``limit`` bytes at a time."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     if len(texts) == 0:
         return
     _, where, data = texts.buffers()
