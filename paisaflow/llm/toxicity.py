@@ -100,7 +100,7 @@ def fit_machine(row: np.ndarray, term: np.ndarray, label: np.ndarray, passes: in
     keep = live[at]
     row, at, terms, w = row[keep], rank[at[keep]], terms[live], w[live]
     first = np.searchsorted(row, np.arange(n + 1))
-    v = random.normal(0, 0.02, (len(w), FACTORS))
+    v = random.normal(0, 0.1, (len(w), FACTORS))
     squares_w, squares_v = np.full(len(w), 1e-2), np.full(v.shape, 1e-2)
     decay = 1e-4
     for _ in range(passes if len(w) else 0):
@@ -115,11 +115,11 @@ def fit_machine(row: np.ndarray, term: np.ndarray, label: np.ndarray, passes: in
             intercept -= 0.1 * g0 / np.sqrt(square0)
             g = np.bincount(t, error[local], minlength=len(w)) / rows + decay * w
             squares_w += g * g
-            w = w - 0.05 * g / np.sqrt(squares_w)
+            w = w - 0.1 * g / np.sqrt(squares_w)
             for k in range(FACTORS):
                 gk = np.bincount(t, error[local] * (total[local, k] - v[t, k]), minlength=len(w)) / rows + decay * v[:, k]
                 squares_v[:, k] += gk * gk
-                v[:, k] -= 0.05 * gk / np.sqrt(squares_v[:, k])
+                v[:, k] -= 0.1 * gk / np.sqrt(squares_v[:, k])
     return Machine(intercept, terms, w, v)
 
 

@@ -262,17 +262,22 @@ def test_toxicity(spark, table, odd_rows):
 
 
 def test_machine_learns_interactions():
+    """One of two terms, but not both: no sum of single weights can tell."""
     chance = np.random.default_rng(2)
-    row, term, label = [], [], []
-    for i in range(2000):
-        a, b = chance.random(2) < 0.5
-        own = [10] * int(a) + [11] * int(b) + list(chance.integers(20, 60, 5))
-        row += [i] * len(own)
-        term += own
-        label.append(float(a and b))
-    model = toxicity.fit_machine(np.array(row), np.array(term), np.array(label))
-    s = toxicity.scores(model, 4, np.array([1, 2, 3, 3]), np.array([10, 11, 10, 11]))
-    assert s[3] > 0.8 and max(s[:3]) < 0.2
+
+    def made(n):
+        row, term, label = [], [], []
+        for i in range(n):
+            a, b = (bool(x) for x in chance.random(2) < 0.5)
+            own = [10] * a + [11] * b + list(chance.integers(20, 60, 5))
+            row += [i] * len(own)
+            term += own
+            label.append(float(a != b))
+        return np.array(row), np.array(term), np.array(label)
+
+    model = toxicity.fit_machine(*made(3000))
+    row, term, label = made(1000)
+    assert ((toxicity.scores(model, 1000, row, term) > 0.5) == label).mean() > 0.95
 
 
 def test_quality(spark, table, odd_rows):
