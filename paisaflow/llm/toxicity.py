@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its distinct words (ASCII case folded, punctuation apart) and the first five
+A text's terms are its distinct words (ASCII case folded, punctuation apart) and the first four
 bytes of each, hashed. The score adds a weight per term and, for every pair of terms, the product
 of their factor vectors, so that an insult beside a mention of a group can weigh more than both
 apart. Weights are learned first alone, with a penalty that sets those of chance terms to zero;
@@ -25,9 +25,9 @@ from paisaflow.llm.frames import by_batch, documents
 from paisaflow.llm.labelled import held_out, training_sample
 from paisaflow.llm.words import NOT_ALPHANUMERIC, Chunk, chunks, prefix_hashes, range_hash, words
 
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 16_000
 BITS = 18
-PREFIX_BYTES = 5
+PREFIX_BYTES = 4
 FACTORS = 4
 THRESHOLD = 0.3
 
@@ -72,16 +72,16 @@ def fit_machine(row: np.ndarray, term: np.ndarray, label: np.ndarray, passes: in
     n = len(label)
     prior = np.clip(label.mean() if n else 0.0, 1e-3, 1 - 1e-3)
     intercept, w = float(np.log(prior / (1 - prior))), np.zeros(len(terms))
-    penalty, rate = 2e-4, 0.3
+    penalty, rate = 5e-4, 0.3
     first = np.searchsorted(row, np.arange(n + 1))
 
     def batches(size=128):
         order = random.permutation(n)
         for lo in range(0, n, size):
             own = order[lo:lo + size]
-            take = np.concatenate([np.arange(first[i], first[i + 1]) for i in own]) if len(own) else []
+            take = np.concatenate([np.arange(first[i], first[i + 1]) for i in own])
             local = np.repeat(np.arange(len(own)), first[own + 1] - first[own])
-            yield label[own], local, at[np.asarray(take, np.int64)]
+            yield label[own], local, at[take]
 
     squares, square0 = np.full(len(terms), 1e-2), 1e-2
     for _ in range(passes):
@@ -100,9 +100,9 @@ def fit_machine(row: np.ndarray, term: np.ndarray, label: np.ndarray, passes: in
     keep = live[at]
     row, at, terms, w = row[keep], rank[at[keep]], terms[live], w[live]
     first = np.searchsorted(row, np.arange(n + 1))
-    v = random.normal(0, 0.1, (len(w), FACTORS))
+    v = random.normal(0, 0.04, (len(w), FACTORS))
     squares_w, squares_v = np.full(len(w), 1e-2), np.full(v.shape, 1e-2)
-    decay = 1e-4
+    decay, factor_decay = 1e-4, 1e-4
     for _ in range(passes if len(w) else 0):
         for y, local, t in batches():
             rows = len(y)
@@ -117,7 +117,7 @@ def fit_machine(row: np.ndarray, term: np.ndarray, label: np.ndarray, passes: in
             squares_w += g * g
             w = w - 0.1 * g / np.sqrt(squares_w)
             for k in range(FACTORS):
-                gk = np.bincount(t, error[local] * (total[local, k] - v[t, k]), minlength=len(w)) / rows + decay * v[:, k]
+                gk = np.bincount(t, error[local] * (total[local, k] - v[t, k]), minlength=len(w)) / rows + factor_decay * v[:, k]
                 squares_v[:, k] += gk * gk
                 v[:, k] -= 0.1 * gk / np.sqrt(squares_v[:, k])
     return Machine(intercept, terms, w, v)
@@ -161,8 +161,8 @@ def fit(sample: DataFrame) -> Machine | None:
         return None
     # one order whatever task came first, so that reruns fit the same machine
     rows = sorted(zip(*(seen.column(c).to_pylist() for c in ("doc_id", "terms", "label"))))
-    terms = [np.frombuffer(t, np.int32).astype(np.int64) for _, t, _ in rows]
-    row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    terms = [np.frombuffer(t, np.int32) for _, t, _ in rows]
+    row = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
     return fit_machine(row, np.concatenate(terms), np.array([y for _, _, y in rows], float))
 
 
