@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paisaflow.operators.exact import match_columns
 from paisaflow.operators.fuzzy import without_rows
+from paisaflow.operators.keys import FIND
 from paisaflow.operators.nearest import nearest_pairs
 from paisaflow.schemas import (
     DEFAULT_EXCEPTION_EXPLANATION, DEFAULT_EXCEPTION_REASON, RESOLUTIONS,
@@ -33,7 +34,7 @@ def row_summary(prefix: str = "") -> Column:
 
 
 def open_items(
-    ledger: DataFrame, bank: DataFrame, hot_keys: DataFrame | None = None
+    ledger: DataFrame, bank: DataFrame, hot_keys: DataFrame | str | None = FIND
 ) -> DataFrame:
     """Every row still open: ledger rows with their nearest bank row, then lone rows.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from paisaflow.operators import hot_pairing, pairing
 from paisaflow.operators.exact import MatchSplit, match_columns
-from paisaflow.operators.keys import split_hot, with_order_key
+from paisaflow.operators.keys import FIND, hot_keys_of, split_hot, with_order_key
 from paisaflow.schemas import FUZZY_TOLERANCE, Tolerance
 
 
@@ -32,11 +32,12 @@ def without_rows(df: DataFrame, used: DataFrame, id_column: str) -> DataFrame:
 def fuzzy_match(
     ledger: DataFrame,
     bank: DataFrame,
-    hot_keys: DataFrame | None = None,
+    hot_keys: DataFrame | str | None = FIND,
     tolerance: Tolerance = FUZZY_TOLERANCE,
     keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> MatchSplit:
-    """``hot_keys`` names the keys too large for one task (``keys.find_hot_keys``)."""
+    """``hot_keys``: the keys too large for one task, looked for unless given."""
+    hot_keys = hot_keys_of(ledger, bank, hot_keys)
     l_small, l_hot = split_hot(ledger, hot_keys)
     b_small, b_hot = split_hot(bank, hot_keys)
     taken = pairing.take_greedily(pairing.same_key_edges(

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from paisaflow.session import cut
 
+# Stands for "look for the hot keys of these rows", the default of the operators.
+FIND = "find"
+
 # A key with at most this many same-key pairs is matched by one task in memory.
 SMALL_GROUP_PAIRS = 10_000
 
@@ -35,6 +38,13 @@ def find_hot_keys(
     return None if hot.isEmpty() else hot
 
 
+def hot_keys_of(
+    ledger: DataFrame, bank: DataFrame, hot_keys: DataFrame | str | None
+) -> DataFrame | None:
+    """``hot_keys`` as given, or found. None says that the caller knows there are none."""
+    return find_hot_keys(ledger, bank) if isinstance(hot_keys, str) else hot_keys
+
+
 def split_hot(df: DataFrame, hot_keys: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """``df`` with keys, as (rows of small groups, rows of hot groups)."""
     keyed = with_order_key(df)

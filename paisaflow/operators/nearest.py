@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from paisaflow.operators import hot_nearest, pairing
-from paisaflow.operators.keys import split_hot
+from paisaflow.operators.keys import FIND, hot_keys_of, split_hot
 
 
 def nearest_pairs(
-    ledger: DataFrame, bank: DataFrame, hot_keys: DataFrame | None = None
+    ledger: DataFrame, bank: DataFrame, hot_keys: DataFrame | str | None = FIND
 ) -> DataFrame:
-    """``order_key, l_id, b_id, diff, hours``: every row of the shorter side of a key gets one."""
+    """``order_key, l_id, b_id, diff, hours``: every row of the shorter side of a key gets one,
+    rows without an amount apart."""
+    hot_keys = hot_keys_of(ledger, bank, hot_keys)
     l_small, l_hot = split_hot(ledger, hot_keys)
     b_small, b_hot = split_hot(bank, hot_keys)
     taken = pairing.take_greedily(

@@ -50,7 +50,11 @@ def in_band(tolerance: Tolerance) -> Column:
 def same_key_edges(
     ledger: DataFrame, bank: DataFrame, cost: Column, condition: Column | None = None
 ) -> DataFrame:
-    """Pairs of equal key, optionally within a band, with their cost."""
+    """Pairs of equal key, optionally within a band, with their cost.
+
+    Rows whose cost is unknown (no amount, or no time where the cost needs one) pair with nothing
+    and stay open; ``hot_pairing`` and ``hot_nearest`` follow the same rule.
+    """
     l, b = ledger_points(ledger), bank_points(bank)
     pairs = l.join(b, "order_key")
     if condition is not None:
@@ -58,7 +62,7 @@ def same_key_edges(
     return pairs.select(
         "order_key", cost.alias("cost"), "l_id", "b_id", diff().alias("diff"),
         hours().alias("hours"),
-    )
+    ).filter(F.col("cost").isNotNull())
 
 
 def take_greedily(edges: DataFrame) -> DataFrame:

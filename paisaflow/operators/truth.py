@@ -1,7 +1,7 @@
 """Held-out truth: which rows belong to which transaction and what a matcher should do.
 
-The working form is long: one ``(txn_id, kind, row_id)`` row per export row of a side. The
-stored table nests row ids in arrays; ``row_owner_of_stored`` unnests it again.
+Rows are stored long: one ``(txn_id, side, kind, row_id)`` row per export row. Owners come from
+there; ``nest_row_ids`` is a view of it with the row ids of a transaction in arrays.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 NO_COUNTERPART_KINDS = ("missing",)
 AMBIGUOUS_KINDS = ("partial_settlement",)
 
-NESTED_ROW_LIMIT = 1000
-
 
 def verdict(ledger_kind: Column, bank_kind: Column) -> Column:
     either = lambda kinds: ledger_kind.isin(*kinds) | bank_kind.isin(*kinds)
@@ -53,37 +51,33 @@ def build_ground_truth(
     )
 
 
-def row_owner(ledger_kinds: DataFrame, bank_kinds: DataFrame) -> DataFrame:
-    """``(row_id, txn_id)`` for every row the truth knows, both sides."""
-    return ledger_kinds.select("row_id", "txn_id").unionByName(
-        bank_kinds.select("row_id", "txn_id")
-    )
+def truth_rows(ledger_kinds: DataFrame, bank_kinds: DataFrame) -> DataFrame:
+    """The stored rows of both sides."""
+    side = lambda rows, name: rows.select("txn_id", F.lit(name).alias("side"), "kind", "row_id")
+    return side(ledger_kinds, "ledger").unionByName(side(bank_kinds, "bank"))
 
 
-def row_owner_of_stored(truth: DataFrame) -> DataFrame:
-    return truth.select(
-        F.explode(F.concat("ledger_row_ids", "bank_row_ids")).alias("row_id"), "txn_id"
-    )
+def row_owner(rows: DataFrame) -> DataFrame:
+    """``(row_id, txn_id)`` for every stored row."""
+    return rows.select("row_id", "txn_id")
 
 
-def nest_row_ids(truth: DataFrame, ledger_kinds: DataFrame, bank_kinds: DataFrame) -> DataFrame:
-    """The stored form. A transaction with more than ``NESTED_ROW_LIMIT`` rows on a side keeps
-    a null array there: its rows stay available, whole, in the long form."""
+def nest_row_ids(truth: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row per transaction with the ids of all its stored rows, for readers of one
+    transaction; nothing in the library reads it back."""
 
-    def arrays(rows: DataFrame, name: str) -> DataFrame:
-        few = truth.filter(F.col(f"{name}_row_count").between(1, NESTED_ROW_LIMIT))
-        kept = rows.join(few.select("txn_id"), "txn_id", "left_semi")
-        return kept.groupBy("txn_id").agg(
+    def arrays(name: str) -> DataFrame:
+        return rows.filter(F.col("side") == name).groupBy("txn_id").agg(
             F.array_sort(F.collect_list("row_id")).alias(f"{name}_row_ids")
         )
 
     def or_empty(name: str) -> Column:
-        none = F.when(F.col(f"{name}_row_count") == 0, F.array().cast("array<string>"))
+        none = F.array().cast("array<string>")
         return F.coalesce(f"{name}_row_ids", none).alias(f"{name}_row_ids")
 
     return (
-        truth.join(arrays(ledger_kinds, "ledger"), "txn_id", "left")
-        .join(arrays(bank_kinds, "bank"), "txn_id", "left")
+        truth.join(arrays("ledger"), "txn_id", "left")
+        .join(arrays("bank"), "txn_id", "left")
         .select(
             "txn_id", "order_id", or_empty("ledger"), or_empty("bank"), "ledger_mismatch",
             "bank_mismatch", "should_fully_reconcile", "reconcile_verdict",

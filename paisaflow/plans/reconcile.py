@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from paisaflow.operators.adjudicate import open_items, refused_candidates, resolve
 from paisaflow.operators.exact import exact_match
 from paisaflow.operators.fuzzy import fuzzy_match
-from paisaflow.operators.keys import find_hot_keys
+from paisaflow.operators.keys import FIND, hot_keys_of
 from paisaflow.session import cut, side_by_side
 
 
@@ -30,18 +30,17 @@ def reconcile(
     ledger: DataFrame,
     bank: DataFrame,
     resolutions: DataFrame | None = None,
-    hot_keys: DataFrame | None | str = "find",
+    hot_keys: DataFrame | str | None = FIND,
     keep: Callable[[DataFrame], DataFrame] = cut,
     emit_both_sides: bool = False,
 ) -> Reconciliation:
     """Reconcile two sides.
 
-    ``hot_keys``: "find" counts rows per order first, so that an order with very many rows is
+    ``hot_keys``: ``FIND`` counts rows per order first, so that an order with very many rows is
     spread over tasks; None promises there is none. ``keep`` stores what a tier found and what
     it leaves for the next, so that no tier runs twice; the default writes tables.
     """
-    if isinstance(hot_keys, str):
-        hot_keys = find_hot_keys(ledger, bank)
+    hot_keys = hot_keys_of(ledger, bank, hot_keys)
     first = exact_match(ledger, bank, keep=keep)
     l1, b1 = side_by_side(keep, first.ledger_rest, first.bank_rest)
     second = fuzzy_match(l1, b1, hot_keys, keep=keep)

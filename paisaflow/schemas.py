@@ -45,6 +45,8 @@ GROUND_TRUTH = _struct(
     ("should_fully_reconcile", BOOL), ("reconcile_verdict", STR),
 )
 
+GROUND_TRUTH_ROWS = _struct(("txn_id", STR), ("side", STR), ("kind", STR), ("row_id", STR))
+
 MATCHES = _struct(
     ("ledger_row_id", STR), ("bank_row_id", STR), ("order_id", STR), ("tier", STR),
     ("amount_diff", DBL), ("timestamp_diff_hours", DBL), ("explanation", STR),
@@ -78,6 +80,7 @@ TABLES: dict[str, T.StructType] = {
     "ledger_rows": LEDGER_ROWS,
     "bank_rows": BANK_ROWS,
     "ground_truth": GROUND_TRUTH,
+    "ground_truth_rows": GROUND_TRUTH_ROWS,
     "reconciliation_matches": MATCHES,
     "reconciliation_exceptions": EXCEPTIONS,
     "reconciliation_reviews": REVIEW_LOG,

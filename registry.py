@@ -128,7 +128,11 @@ class Workspace:
 
     @property
     def owner(self) -> DataFrame:
-        return truth.row_owner(*self.kinds)
+        return truth.row_owner(self.truth_rows)
+
+    @property
+    def truth_rows(self) -> DataFrame:
+        return truth.truth_rows(*self.kinds)
 
     @cached_property
     def tax_answers(self) -> DataFrame:
@@ -715,7 +719,7 @@ QUERIES: dict[str, Query] = {
     "matches_of_tier_total": _tier_rows,
     # truth and scoring
     "ground_truth": lambda w: w.truth,
-    "ground_truth_row_ids": lambda w: truth.nest_row_ids(w.truth, *w.kinds).select(
+    "ground_truth_row_ids": lambda w: truth.nest_row_ids(w.truth, w.truth_rows).select(
         "txn_id", F.array_join("ledger_row_ids", "|").alias("ledger_row_ids"),
         F.array_join("bank_row_ids", "|").alias("bank_row_ids"),
     ),

@@ -3,7 +3,7 @@
 import datetime as dt
 import random
 
-from paisaflow.operators import hot_nearest, hot_pairing
+from paisaflow.operators import hot_nearest, hot_pairing, keys
 from paisaflow.operators.fuzzy import fuzzy_match
 from paisaflow.operators.keys import find_hot_keys, with_order_key
 from paisaflow.operators.nearest import nearest_pairs
@@ -107,6 +107,38 @@ def test_hot_and_small_keys_together(spark):
     assert {(r.l_id, r.b_id) for r in rest.collect()} == greedy(l_left, b_left, gap)
 
 
+def with_gaps(rng, rows, *names):
+    return [{**r, **{n: None for n in names if rng.random() < 0.25}} for r in rows]
+
+
+def test_unknown_amounts_and_times_pair_with_nothing_either_way(spark):
+    """Rows without amount stay open; both ways of pairing leave the same rows."""
+    rng = random.Random(11)
+    ls, bs = many_keys(6, 60)
+    ls, bs = with_gaps(rng, ls, "amount"), with_gaps(rng, bs, "amount")
+    keep = lambda r: r["amount"] is not None
+    known = list(filter(keep, ls)), list(filter(keep, bs))
+    want = greedy(*known, gap)
+    assert pairs_of(hot_nearest.pair_nearest(*keyed(spark, ls, bs))) == want
+    assert pairs_of(nearest_pairs(txns(spark, *ls), txns(spark, *bs), None)) == want
+    ls, bs = with_gaps(rng, ls, "created_at"), with_gaps(rng, bs, "created_at")
+    timed = lambda r: keep(r) and r["created_at"] is not None
+    want = greedy(list(filter(timed, ls)), list(filter(timed, bs)), fuzzy_cost)
+    assert pairs_of(hot_pairing.pair_in_bands(*keyed(spark, ls, bs), FUZZY_TOLERANCE)) == want
+    split = fuzzy_match(txns(spark, *ls), txns(spark, *bs), None)
+    assert {(r.ledger_row_id, r.bank_row_id) for r in split.matches.collect()} == want
+
+
+def test_hot_keys_are_found_by_default(spark, monkeypatch):
+    monkeypatch.setattr(keys.find_hot_keys, "__defaults__", (3000,))
+    ls, bs = crowd(random.Random(9), None, 70, 60, SPREAD, 10, 11)
+    l, b = txns(spark, *ls), txns(spark, *bs)
+    split = fuzzy_match(l, b)
+    want = greedy(ls, bs, fuzzy_cost)
+    assert {(r.ledger_row_id, r.bank_row_id) for r in split.matches.collect()} == want
+    assert pairs_of(nearest_pairs(l, b)) == greedy(ls, bs, gap)
+
+
 def test_no_hot_keys(spark):
     l, b = txns(spark, ledger()), txns(spark, bank())
     assert find_hot_keys(l, b) is None

@@ -31,7 +31,8 @@ def test_score(spark):
         "txn_id string, kind string, row_id string",
     )
     t = truth.build_ground_truth(base, l, b)
-    owner = truth.row_owner(l, b)
+    rows = truth.truth_rows(l, b)
+    owner = truth.row_owner(rows)
     pairs = [("L2a", "B2a"), ("L2b", "B2b"), ("L3", "B3"), ("L1", "B4")]
     matches = spark.createDataFrame(
         [(x, y, "o", "exact", 0.0, 0.0, None) for x, y in pairs], MATCHES
@@ -44,11 +45,21 @@ def test_score(spark):
     assert (s.precision, s.recall, s.match_rate) == (0.6667, 0.3333, 0.8)
     missed = scoring.false_negatives(matches, t, owner).collect()
     assert sorted(r.txn_id for r in missed) == ["T1", "T5"]
-    nested = truth.nest_row_ids(t, l, b)
+    nested = truth.nest_row_ids(t, rows)
     got = {r.txn_id: (r.ledger_row_ids, r.bank_row_ids) for r in nested.collect()}
     assert got["T2"] == (["L2a", "L2b"], ["B2a", "B2b"]) and got["T4"] == ([], ["B4"])
-    again = truth.row_owner_of_stored(nested)
-    assert again.exceptAll(owner).isEmpty() and owner.exceptAll(again).isEmpty()
+
+
+def test_transaction_with_very_many_rows(spark):
+    """No row loses its owner, however many a transaction has on a side."""
+    base = spark.createDataFrame([("T1", "order_1")], "txn_id string, order_id string")
+    kinds = "txn_id string, kind string, row_id string"
+    l = spark.range(1001).selectExpr("'T1' as txn_id", "'duplicate' as kind", "concat('L', id) as row_id")
+    b = spark.createDataFrame([("T1", "exact", "B1")], kinds)
+    rows = truth.truth_rows(l, b)
+    assert truth.row_owner(rows).filter("txn_id = 'T1'").count() == 1002
+    nested = truth.nest_row_ids(truth.build_ground_truth(base, l, b), rows).first()
+    assert len(nested.ledger_row_ids) == 1001 and nested.bank_row_ids == ["B1"]
 
 
 TAX = "txn_id string, had_refund boolean, gst_on_fee_flag boolean, fee_amount string," \
