@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
+import shapes
 from paisaflow.schemas import (
     CASH_POSITION_KEYWORDS, DEFAULT_EXCEPTION_EXPLANATION, DEFAULT_TAX_REASONING,
-    FORWARD_LOOKING_KEYWORDS, HOLIDAYS, REVIEW_DECISIONS,
+    FORWARD_LOOKING_KEYWORDS, REVIEW_DECISIONS,
 )
 
-_HOLIDAYS = ", ".join(f"DATE '{d}'" for d in HOLIDAYS)
+_HOLIDAYS = ", ".join(f"DATE '{d}'" for d in shapes.HOLIDAYS)
 _EXCEPTION_TEXT = DEFAULT_EXCEPTION_EXPLANATION.replace("'", "''")
 _TAX_TEXT = DEFAULT_TAX_REASONING.replace("'", "''")
 _KEY = "cast(substring(row_id, 5, 9) as bigint)"
@@ -29,22 +30,11 @@ def _float_text(x: str) -> str:
 
 
 def _side(value: str, p: int, q: int, prefix: str) -> str:
-    kind = (
-        "case when h < 62 then 'exact' when h < 72 then 'rounding' when h < 82 then"
-        " 'timestamp_drift' when h < 87 then 'missing' when h < 92 then 'duplicate' when h < 95"
-        " then 'partial_settlement' when h < 98 then 'late_settlement_window'"
-        " else 'refund_not_debited' end"
-    )
     return f"""
 select *, '{prefix}' || lpad(cast(k as varchar), 9, '0') || '_' || copy as row_id,
-  case when kind = 'rounding' then v + (case when x % 2 = 0 then 1 else -1 end) * (1 + x % 200)
-    when kind = 'duplicate' and copy = 1 then v * (1020 + x % 31) // 1000
-    when kind = 'partial_settlement' then v * (890 + x % 51) // 1000
-    when kind = 'refund_not_debited' then v + refund else v end as row_paise,
-  created_at + to_minutes(cast(case when kind = 'timestamp_drift' then x % 1441 - 720
-    when kind = 'duplicate' and copy = 1 then 30 + x % 151
-    when kind = 'late_settlement_window' then (92 + x % 49) * 60 else 0 end as int)) as ts
-from (select *, {kind} as kind from (
+  cast({shapes.by_kind(2, '//')} as bigint) as row_paise,
+  created_at + to_minutes(cast({shapes.by_kind(3, '//')} as int)) as ts
+from (select *, {shapes.KIND} as kind from (
   select *, {value} as v, (k * {p}) % {q} % 100 as h, (k * {p} + 17) % 9857 as x from paise))
   cross join (select unnest([0, 1]) as copy)
 where kind <> 'missing' and (copy = 0 or kind = 'duplicate')"""
@@ -115,22 +105,17 @@ select cast(o_orderkey as bigint) as k, cast(round(o_totalprice * 100) as bigint
 from orders join customer on o_custkey = c_custkey""",
     "paise1": f"""
 select *, 'TXN' || lpad(cast(k as varchar), 9, '0') as txn_id, 'order_' || k as order_id,
-  case when m < 35 then 'card' when m < 80 then 'upi' when m < 92 then 'netbanking'
-    else 'wallet' end as payment_method,
-  (k * 131) % 9941 % 100 < 4 as had_dispute_flag, (k * 137) % 9931 % 100 < 8 as had_refund,
-  (k * 139) % 9929 % 100 >= 3 as gst_on_fee_flag,
-  (k * 149) % 9923 % 100 < 2 as fee_amount_pending,
+  {shapes.METHOD} as payment_method, {shapes.DISPUTED} as had_dispute_flag,
+  {shapes.REFUNDED} as had_refund, {shapes.TAXED} as gst_on_fee_flag,
+  {shapes.PENDING} as fee_amount_pending,
   cast(isodow(created_at) - 1 as int) as day_of_week,
   isodow(created_at) >= 6 or cast(created_at as date) in ({_HOLIDAYS}) as is_weekend_or_holiday,
-  greatest(0, case when m < 35 then 200 when m < 80 then 0 when m < 92 then 180 else 150 end
-    + (k * 157) % 9901 % 41 - 20) as bp,
-  case when m < 35 then 2 when m < 80 then 1 when m < 92 then 2 else 1 end as base_days
+  {shapes.FEE_POINTS} as bp, {shapes.DAYS} as base_days
 from paise0""",
-    "paise": """
-select *, case when gst_on_fee_flag then (fee * 18 + 50) // 100 else 0 end as tax,
-  case when had_refund then amt * (20 + (k * 163) % 9887 % 81) // 100 else 0 end as refund,
-  cast(base_days + (case when is_weekend_or_holiday then 1 + k % 2 else 0 end)
-    + (case when had_dispute_flag then 3 + k % 8 else 0 end) as int) as days_to_settle
+    "paise": f"""
+select *, case when gst_on_fee_flag then {shapes.tax('//')} else 0 end as tax,
+  case when had_refund then {shapes.refund('//')} else 0 end as refund,
+  cast(base_days + {shapes.LATER_DAYS} + {shapes.DISPUTE_DAYS} as int) as days_to_settle
 from (select *, (amt * bp + 5000) // 10000 as fee from paise1)""",
     "base": """
 select k, txn_id, 'synthetic' as source, cast(null as varchar) as gateway_payment_id, order_id,
@@ -373,8 +358,8 @@ select 'pay_' || b.k || '_' || n.n as source_id, b.order_id, b.txn_amount as amo
   'INR' as currency, b.payment_method as method,
   case when fee_amount_pending then null else fee_amount end as fee,
   case when fee_amount_pending then null else tax_on_fee end as tax_on_fee,
-  case when b.k % 5 > 0 and b.k % 1000 < 700 and b.k % 1000 in (select c_custkey from customer)
-    then TIMESTAMP '1970-01-01' + to_seconds(800000000 + (b.k % 1000) * 3601) end as settled_at,
+  case when b.k % 5 > 0 and b.k % 100000 in (select c_custkey from customer where c_custkey % 10 < 7)
+    then TIMESTAMP '1970-01-01' + to_seconds(800000000 + (b.k % 100000) * 3601) end as settled_at,
   date_trunc('second', b.created_at) + to_seconds(n.n) as created_at, b.refund_amount
 from base b join (select unnest([1, 2]) as n) n on n.n = 1 or b.k % 10 = 0 where b.k % 9 > 0""",
     "embed": "select vec_id, cast(embedding as double[]) as e from embeddings",

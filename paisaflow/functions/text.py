@@ -34,23 +34,27 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+# A JSON text value, escapes included: what is inside one is never touched.
+_TEXT = r'"(?:[^"\\]|\\.)*"'
+
+
 def json_block(text: Column) -> Column:
-    """The JSON part of an answer: a fenced block, else the outermost braces or brackets."""
-    fenced = r"(?s)```(?:json)?\s*(.*?)\s*```"
-    braces, brackets = r"(?s)\{.*\}", r"(?s)\[.*\]"
-    return strip(
-        F.when(text.rlike(fenced), F.regexp_extract(text, fenced, 1))
-        .when(text.rlike(braces), F.regexp_extract(text, braces, 0))
-        .when(text.rlike(brackets), F.regexp_extract(text, brackets, 0))
-        .otherwise(text)
-    )
+    """The JSON part of an answer: what stands between code fences, else everything from the first
+    opening brace to the last closing one, else the same for brackets, else all of it."""
+    inner = F.regexp_extract(text, r"```(?:json)?([^`]*(?:`{1,2}[^`]+)*)```", 1)
+    span = lambda left, right: F.regexp_substr(text, F.lit(rf"(?s)\{left}.*\{right}"))
+    return strip(F.coalesce(F.nullif(inner, F.lit("")), span("{", "}"), span("[", "]"), text))
 
 
 def repair_json(block: Column) -> Column:
-    """Trailing commas, typographic quotes and single-quoted keys put right."""
-    c = F.regexp_replace(block, r",\s*([}\]])", "$1")
-    c = F.translate(c, "“”‘’", "\"\"''")
-    return F.regexp_replace(c, r"'([A-Za-z0-9_]+?)'\s*:", '"$1":')
+    """Quotes of print made plain, keys in single quotes given double ones, a comma before a closing
+    bracket taken out; the last two outside of text values only."""
+    plain = F.translate(block, "\u201c\u201d\u2018\u2019", "\"\"''")
+    # a text value matches first and is put back as it is, so the other branch sees what is outside
+    keyed = F.regexp_replace(plain, rf"({_TEXT})|'(\w+)'(?=\s*:)", '$1\u0001$2\u0001')
+    keyed = F.regexp_replace(keyed, "\u0001\u0001", "")
+    keyed = F.translate(keyed, "\u0001", '"')
+    return F.regexp_replace(keyed, rf"({_TEXT})|,(?=\s*[\]}}])", "$1")
 
 
 def with_clean_json(df: DataFrame, column: str, name: str = "json") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F
 
 from paisaflow.schemas import HOLIDAYS
@@ -43,6 +45,7 @@ def is_weekend(day: Column) -> Column:
     return F.weekday(day) >= 5
 
 
-def is_weekend_or_holiday(ts: Column) -> Column:
+def is_weekend_or_holiday(ts: Column, holidays: Iterable[str] = HOLIDAYS) -> Column:
+    """``holidays``: days off of the years in the data, as ``yyyy-mm-dd``."""
     day = F.to_date(ts)
-    return is_weekend(day) | day.isin([F.lit(h).cast("date") for h in HOLIDAYS])
+    return is_weekend(day) | day.isin([F.lit(h).cast("date") for h in holidays])

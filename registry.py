@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import fixtures
+import shapes
 from paisaflow.functions import money, text, times, vectors
 from paisaflow.operators import (
     adjudicate, daily, exact, fuzzy, nearest, records, reviews, scoring, similarity, stats, tax,
@@ -251,10 +252,10 @@ class Workspace:
                 "if(fee_amount_pending, null, cast(round(fee_amount * 100) as bigint)) as fee",
                 "if(fee_amount_pending, null, cast(round(tax_on_fee * 100) as bigint)) as tax",
                 "cast(round(refund_amount * 100) as bigint) as amount_refunded",
-                "if(k % 5 = 0, null, concat('setl_', k % 1000)) as settlement_id",
+                "if(k % 5 = 0, null, concat('setl_', k % 100000)) as settlement_id",
                 f"{epoch} + n as created_at", "concat('payment ', k) as description",
             )
-        settlements = self.table("customer").filter("c_custkey < 700").selectExpr(
+        settlements = self.table("customer").filter("c_custkey % 10 < 7").selectExpr(
             "concat('setl_', c_custkey) as id",
             "800000000L + cast(c_custkey as bigint) * 3601 as created_at",
         )
@@ -440,7 +441,7 @@ def _deduction_features(w: Workspace) -> DataFrame:
 def _calendar_flags(w: Workspace) -> DataFrame:
     return w.base.select(
         "txn_id", F.weekday("created_at").alias("day_of_week"),
-        times.is_weekend_or_holiday(F.col("created_at")).alias("is_weekend_or_holiday"),
+        times.is_weekend_or_holiday(F.col("created_at"), shapes.HOLIDAYS).alias("is_weekend_or_holiday"),
         F.to_date("created_at").alias("created_date"),
         F.dayofmonth("created_at").alias("day_of_month"), F.month("created_at").alias("month"),
     )
