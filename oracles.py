@@ -195,9 +195,10 @@ select row_id, side, order_id, candidate_id, coalesce(resolution, 'unexplained')
   coalesce(said, '{_EXCEPTION_TEXT}') as explanation
 from judged where not agreed""",
     "exceptions": f"""
-select row_id, side, order_id, 'unexplained' as reason, '{_EXCEPTION_TEXT}' as explanation
-from items""",
-    "matches": "select * from exact union all select * from fuzzy",
+select row_id, side, order_id, reason, explanation from judged_exceptions""",
+    "matches": """
+select * from exact union all select * from fuzzy union all
+select row_id, candidate_id, order_id, 'llm', diff, hours, said from judged where agreed""",
     "truth": """
 select txn_id, order_id, ledger_row_count, bank_row_count, ledger_mismatch, bank_mismatch,
   verdict = 'must_match' as should_fully_reconcile, verdict as reconcile_verdict
@@ -450,6 +451,21 @@ select coalesce(row_id, 'BANK' || lpad(cast(row_num as varchar),
     greatest(5, length(cast(row_num as varchar)))::int, '0')) as source_id, order_id, amount,
   'credited' as status, ts as created_at, ts as settled_at, utr_reference
 from csvb where not no_ts""",
+    "csv_file_ledger": """
+select coalesce(row_id, 'LEDG' || lpad(cast(row_num as varchar),
+    greatest(5, length(cast(row_num as varchar)))::int, '0')) as source_id, order_id,
+  case when fault = 'n/a' then 0.0::double else amount end as amount, status, ts as created_at,
+  method, fee, tax as tax_on_fee, refund_amount
+from csvl where coalesce(fault, '') not in ('blank', 'nan') and ts_fault is null""",
+    "csv_file_bank": """
+select coalesce(row_id, 'BANK' || lpad(cast(row_num as varchar),
+    greatest(5, length(cast(row_num as varchar)))::int, '0')) as source_id, order_id, amount,
+  'credited' as status, ts as created_at, ts as settled_at, utr_reference
+from csvb where not no_ts""",
+    "json_file_rows": f"""
+select row_id, order_id, amount, utr_reference from bank where {_KEY} % 50 <> 0""",
+    "json_file_rejects": f"""
+select left('{{"row_id":"' || row_id || '"', 19) as raw from bank where {_KEY} % 50 = 0""",
     "csv_rejects": _REJECTS,
     "gateway_normalize": """
 select source_id, order_id, amount, currency, method, fee, tax_on_fee, settled_at, created_at
@@ -578,8 +594,9 @@ select txn_id, concat_ws(' ', 'Transaction ' || txn_id || ' for order ' || order
   'Amount ₹' || {_float_text('txn_amount')} || ' via ' || payment_method || '.',
   'Reconciliation status: ' || reconciliation_status || '.',
   'Matched via ' || reconciliation_tier || ' tier.',
-  case when exception_rows > 0 then rtrim(repeat('Exception: unexplained — {_EXCEPTION_TEXT}. ',
-    exception_rows)) end,
+  case when exception_rows > 0 then (select string_agg(rtrim(repeat('Exception: ' || e.reason || ' — '
+    || e.explanation || '. ', cast(e.rows as int))), ' ' order by e.reason, e.explanation)
+    from reasons e where e.order_id = records.order_id) end,
   'Tax category: ' || tax_category || '.',
   case when had_refund then 'Refunded amount: ₹' || {_float_text('refund_amount')} || '.' end,
   case when had_dispute_flag then 'This transaction had a dispute.' end,
@@ -762,7 +779,7 @@ from (select *, cast(round(fee_amount - 10.0::double, 2) as decimal(18,2)) as d
 select (select count(*) from ledger) as total_ledger_rows,
   (select count(*) from bank) as total_bank_rows, (select count(*) from matches) as matched,
   (select count(*) from exact) as exact, (select count(*) from fuzzy) as fuzzy,
-  cast(0 as bigint) as llm, (select count(*) from exceptions) as exception_count,
+  (select count(*) from matches where tier = 'llm') as llm, (select count(*) from exceptions) as exception_count,
   (select min(cast(created_at as date)) from (select created_at from ledger union all
     select created_at from bank)) as start_date,
   (select max(cast(created_at as date)) from (select created_at from ledger union all

@@ -147,7 +147,7 @@ def find_relation(
 ) -> DataFrame:
     """The first record with either id as one nested answer; no row means not found."""
     if not order_id and not txn_id:
-        raise ValueError("Provide order_id or txn_id.")
+        raise ValueError("Neither an order nor a transaction is named.")
     wanted = F.lit(False)
     if order_id:
         wanted = wanted | (F.col("order_id") == order_id)
@@ -223,9 +223,3 @@ def audit_report(
         if frame is not None:
             parts.append(frame.select(*[F.col(c).alias(f"{name}_{c}") for c in frame.columns]))
     return one_row(*parts)
-
-
-def tax_breakdown(records: DataFrame) -> DataFrame:
-    return records.groupBy(
-        F.coalesce("tax_category", F.lit("unclassified")).alias("tax_category")
-    ).agg(F.count("*").alias("txns"))

@@ -15,6 +15,7 @@ def validate_decisions(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     unpaired = (F.col("decision") == "manually_paired") & (
         F.coalesce("paired_row_id", F.lit("")) == ""
     )
+    # Both texts are part of the expected answers.
     known = F.coalesce(F.col("decision").isin(*REVIEW_DECISIONS), F.lit(False))
     error = F.when(
         ~known, F.lit(f"decision must be one of {sorted(REVIEW_DECISIONS)}")

@@ -237,7 +237,7 @@ def predict_next_day_gmv(frame: DataFrame, model: PipelineModel) -> DataFrame:
     """One row from the last complete day; an error when there is none."""
     latest = daily.latest_complete(frame, list(GMV.numeric))
     if latest.isEmpty():
-        raise ValueError("Not enough daily history to build GMV features (need 30+ days).")
+        raise ValueError("The series has no day with all of its features yet.")
     return model.transform(latest).select(
         F.round("prediction", 2).alias("value"), F.lit("linear_regression").alias("method"),
         F.date_add("date", 1).alias("forecast_date"), F.col("date").alias("based_on_date"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from paisaflow.functions.times import parse_export_timestamp
 from paisaflow.operators.numbering import file_row_number
@@ -27,14 +27,32 @@ def clean_header(name: str) -> str:
     return name.strip().lower().replace(" ", "_")
 
 
+# holds the raw line of a row that does not have the header's fields
+BROKEN = "_broken"
+
+
 def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """All columns as text under cleaned names, with ``row_num`` in file order."""
-    header = spark.read.option("multiLine", multi_line).csv(path).limit(1)
-    if header.isEmpty():
+    """All columns as text under cleaned names, with ``row_num`` in file order and ``BROKEN``.
+
+    A quote in a quoted field is doubled; a backslash is a character like any other. Files with
+    line breaks in quoted fields cannot be split: they need ``multi_line``, which reads a file in one
+    task, and are refused without it instead of being cut at the break.
+    """
+    reader = spark.read.options(quote='"', escape='"', multiLine=multi_line)
+    first = reader.csv(path).limit(1).first()
+    if first is None:
         raise CsvFormatError("CSV appears to be empty (no header row found).")
-    scan = spark.read.option("header", True).option("multiLine", multi_line).csv(path)
-    numbered = file_row_number(scan)
-    return numbered.toDF(*[clean_header(c) for c in numbered.columns])
+    if not multi_line:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        if not spark.read.text(path).filter(quotes % 2 == 1).isEmpty():
+            raise CsvFormatError("a quoted field goes on in the next line; read with multi_line=True")
+    names = [clean_header(c or "") for c in first]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BROKEN]])
+    # all fields are parsed whatever columns are used, or a surplus field would go unseen
+    scan = reader.options(
+        header=True, columnNameOfCorruptRecord=BROKEN, columnPruning=False
+    ).schema(schema).csv(path)
+    return file_row_number(scan)
 
 
 def _text(df: DataFrame, name: str) -> Column:
@@ -69,7 +87,10 @@ def _error(*checks: tuple[Column, Column]) -> Column:
 
 def _checks(df: DataFrame) -> dict[str, tuple[Column, Column]]:
     amount, ts = _text(df, "amount"), _text(df, "timestamp")
+    broken = F.col(BROKEN).isNotNull() if BROKEN in df.columns else F.lit(False)
+    # The texts about amount and timestamp are part of the expected rejects.
     return {
+        "fields": (broken, F.lit("not as many fields as the header has.")),
         "amount": (amount.isNull(), F.lit("missing required column 'amount'.")),
         "finite": (
             F.coalesce(amount.rlike(NOT_FINITE), F.lit(False)),
@@ -94,7 +115,7 @@ def _split(df: DataFrame, error: Column, columns: dict[str, Column]) -> ParsedRo
 def parse_ledger(df: DataFrame) -> ParsedRows:
     """Text columns with ``row_num`` to ledger rows. A blank amount is an error."""
     c = _checks(df)
-    error = _error(c["amount"], c["finite"], c["timestamp"], c["format"])
+    error = _error(c["fields"], c["amount"], c["finite"], c["timestamp"], c["format"])
     tax = _number(df, "tax_on_fee")
     return _split(df, error, {
         "source": F.lit("internal_ledger"), "source_id": _row_id(df, "LEDG"),
@@ -111,7 +132,7 @@ def parse_bank(df: DataFrame) -> ParsedRows:
     """Text columns with ``row_num`` to bank rows. A blank amount is 0."""
     c = _checks(df)
     at = parse_export_timestamp(_text(df, "timestamp"))
-    return _split(df, _error(c["timestamp"], c["format"], c["finite"]), {
+    return _split(df, _error(c["fields"], c["timestamp"], c["format"], c["finite"]), {
         "source": F.lit("bank_statement"), "source_id": _row_id(df, "BANK"),
         "order_id": _text(df, "order_id"), "amount": _number(df, "amount"),
         "currency": F.lit("INR"), "status": F.lit("credited"), "settled_at": at,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from paisaflow.schemas import TXN
+from paisaflow.sources.tables import JsonRows, read_json
 
 _L, _S = T.LongType(), T.StringType()
 ORDERS = T.StructType([T.StructField("id", _S), T.StructField("created_at", _L)])
@@ -18,8 +19,9 @@ PAYMENTS = T.StructType([
 SETTLEMENTS = T.StructType([T.StructField("id", _S), T.StructField("created_at", _L)])
 
 
-def read_dump(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def read_dump(spark: SparkSession, path: str, schema: T.StructType) -> JsonRows:
+    """One object per line; objects that do not fit the schema are told apart."""
+    return read_json(spark, path, schema, array_file=False)
 
 
 def from_epoch(seconds: Column) -> Column:

@@ -6,6 +6,7 @@ read by the queries of later stages, as separate jobs of a deployment would.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -21,9 +22,9 @@ from paisaflow.operators import (
 from paisaflow.operators.keys import find_hot_keys
 from paisaflow.operators.numbering import rank_in_groups
 from paisaflow.plans import cash, forecast, learning_curve, reconcile, status, upload
-from paisaflow.schemas import RESOLUTIONS
-from paisaflow.session import cut, side_by_side
-from paisaflow.sources import csv_rows, gateway, narration, normalize
+from paisaflow.schemas import BANK_ROWS, RESOLUTIONS
+from paisaflow.session import cut, ensure_checkpoint_dir, side_by_side
+from paisaflow.sources import csv_rows, gateway, narration, normalize, tables
 
 REFERENCE_DAY = "1996-06-03"
 KEY_NUMBER = "cast(substring(row_id, 5, 9) as bigint)"
@@ -117,11 +118,15 @@ class Workspace:
 
     @property
     def matches(self) -> DataFrame:
-        return self.tier1.matches.unionByName(self.tier2.matches)
+        return self.tier1.matches.unionByName(self.tier2.matches).unionByName(self.tier3.matches)
 
     @cached_property
     def exceptions(self) -> DataFrame:
-        return cut(adjudicate.resolve(self.items).exceptions)
+        return cut(self.tier3.exceptions)
+
+    @cached_property
+    def tier3(self) -> adjudicate.Adjudication:
+        return adjudicate.resolve(self.items, self.resolutions)
 
     @cached_property
     def truth(self) -> DataFrame:
@@ -222,6 +227,26 @@ class Workspace:
         numbered = rank_in_groups(raw, [], ["line"], "position")
         return cut(numbered.withColumn("row_num", F.col("position") + 1).drop("line", "position"))
 
+    def csv_file(self, rows: DataFrame) -> str:
+        """Numbered text rows as CSV part files in row order, with a text that needs quotes."""
+        path = f"{ensure_checkpoint_dir(self.spark)}/files/{uuid.uuid4().hex}"
+        names = [f"  {c.title().replace('_', ' ')} " for c in rows.columns if c != "row_num"]
+        rows.repartitionByRange("row_num").sortWithinPartitions("row_num").drop("row_num").toDF(
+            *names
+        ).withColumn("Note", F.lit('said "wait, no", then \\')).write.options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(path)
+        return path
+
+    def json_file(self) -> str:
+        """The bank export as one object per line, every fiftieth cut short."""
+        path = f"{ensure_checkpoint_dir(self.spark)}/files/{uuid.uuid4().hex}"
+        line = F.to_json(F.struct(*[c for c in self.bank.columns if c in BANK_ROWS.names]))
+        self.bank.select(
+            F.when(F.expr(f"{KEY_NUMBER} % 50 = 0"), F.left(line, F.lit(30))).otherwise(line).alias("value")
+        ).write.text(path)
+        return path
+
     @cached_property
     def csv_bank(self) -> DataFrame:
         k = KEY_NUMBER
@@ -311,7 +336,7 @@ def _expected_net(w: Workspace) -> DataFrame:
 
 
 def _adjudicated(w: Workspace) -> adjudicate.Adjudication:
-    return adjudicate.resolve(w.items, w.resolutions)
+    return w.tier3
 
 
 def _both_sides(w: Workspace) -> DataFrame:
@@ -548,8 +573,7 @@ def _upload_txns(w: Workspace) -> tuple[DataFrame, DataFrame]:
 
 def _upload_summary(w: Workspace) -> DataFrame:
     outcome = reconcile.Reconciliation(
-        w.tier1.matches, w.tier2.matches, adjudicate.resolve(w.items).matches, w.exceptions,
-        w.items,
+        w.tier1.matches, w.tier2.matches, w.tier3.matches, w.exceptions, w.items,
     )
     return upload.upload_summary(w.ledger_txns, w.bank_txns, outcome)
 
@@ -670,6 +694,19 @@ QUERIES: dict[str, Query] = {
         "settled_at", "created_at", "utr_reference",
     ),
     "expected_net": _expected_net,
+    "csv_file_ledger": lambda w: _parsed(
+        csv_rows.read_ledger_csv(w.spark, w.csv_file(w.csv_ledger)).rows, "method", "fee", "tax_on_fee",
+        "refund_amount",
+    ),
+    "csv_file_bank": lambda w: _parsed(
+        csv_rows.read_bank_csv(w.spark, w.csv_file(w.csv_bank)).rows, "settled_at", "utr_reference"
+    ),
+    "json_file_rows": lambda w: tables.read_json_rows(
+        w.spark, w.json_file(), "bank_rows", array_file=False
+    ).rows.select("row_id", "order_id", "amount", "utr_reference"),
+    "json_file_rejects": lambda w: tables.read_json_rows(
+        w.spark, w.json_file(), "bank_rows", array_file=False
+    ).rejects.select(F.substring("raw", 1, 19).alias("raw")),
     "csv_ledger_parse": lambda w: _parsed(
         csv_rows.parse_ledger(w.csv_ledger).rows, "method", "fee", "tax_on_fee", "refund_amount"
     ),

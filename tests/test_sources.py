@@ -124,12 +124,12 @@ def test_base_export_and_index_reset(spark, sf_dir, tmp_path):
 def test_json_rows(spark, tmp_path):
     path = write(tmp_path, "l.json", '[{"row_id": "L1", "order_id": "o", "amount": 5,'
                  ' "timestamp": "2025-06-01T10:00:00"}, {"row_id": "L2", "amount": 1.5}]')
-    df = tables.read_json_rows(spark, path, "ledger_rows")
+    df = tables.strict(tables.read_json_rows(spark, path, "ledger_rows"))
     got = normalize.ledger_to_txn(df).orderBy("source_id").collect()
     assert [r.source_id for r in got] == ["L1", "L2"]
     assert got[0].currency == "INR" and got[0].settled_at is None and got[0].tax_on_fee is None
     tables.write_json_rows(df, str(tmp_path / "out"))
-    lines = tables.read_json_rows(spark, str(tmp_path / "out"), "ledger_rows", array_file=False)
+    lines = tables.read_json_rows(spark, str(tmp_path / "out"), "ledger_rows", array_file=False).rows
     assert lines.count() == 2
 
 
@@ -185,3 +185,55 @@ def test_upload(spark, tmp_path):
     assert got == {"S_LEDG00001": ("matched", False), "S_LEDG00002": ("exception", True)}
     kinds = {r.txn_id: r.category for r in done.classifications.collect()}
     assert kinds == {"S_LEDG00001": "gst_on_fee", "S_LEDG00002": "refund_credit_note"}
+
+
+def test_quoted_csv_equals_the_csv_module(spark, tmp_path):
+    """Commas, doubled quotes, backslashes and line breaks in quoted fields."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(4)
+    piece = lambda: rng.choice(['a', ',', '"', '\\', '\n', ' x ', 'gold', '""', '\\"', '1'])
+    rows = [[f"L{i}", "5", "2025-06-01", "".join(piece() for _ in range(rng.randrange(1, 7)))] for i in range(80)]
+    for breaks in (False, True):
+        own = [r[:3] + [r[3] if breaks else r[3].replace("\n", " ")] for r in rows]
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([["row_id", "amount", "timestamp", "payment_method"], *own])
+        path = write(tmp_path, f"q{breaks}.csv", out.getvalue())
+        got = csv_rows.read_csv_text(spark, path, multi_line=breaks).orderBy("row_num").collect()
+        assert [[r.row_id, r.amount, r.timestamp, r.payment_method] for r in got] == own
+        assert [r.row_num for r in got] == list(range(1, 81))
+    with pytest.raises(csv_rows.CsvFormatError, match="multi_line"):
+        csv_rows.read_csv_text(spark, path)
+
+
+def test_rows_of_other_lengths_are_rejects(spark, tmp_path):
+    text = "row_id,amount,timestamp\nL1,5,2025-06-01\nL2,5,2025-06-01,more\nL3,5\n"
+    parsed = csv_rows.read_ledger_csv(spark, write(tmp_path, "f.csv", text))
+    assert [r.source_id for r in parsed.rows.collect()] == ["L1"]
+    assert {r.row_num for r in parsed.rejects.collect()} == {2, 3}
+
+
+def test_bad_json_is_told_apart(spark, tmp_path):
+    good, bad = '{"row_id":"L1","amount":5.0}', ['{"row_id":"L2","amount":oops}', '{"row_id":"L3","amount":"x"}']
+    path = write(tmp_path, "r.json", "\n".join([good, *bad]))
+    read = tables.read_json_rows(spark, path, "ledger_rows", array_file=False)
+    assert [(r.row_id, r.amount) for r in read.rows.collect()] == [("L1", 5.0)]
+    assert sorted(r.raw for r in read.rejects.collect()) == bad
+    with pytest.raises(ValueError):
+        tables.strict(read)
+
+
+def test_refresh_from_itself_and_after_a_failure(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path / "store"))
+    store.init()
+    assert store.load("forecaster_metrics").isEmpty()
+    rows = spark.createDataFrame([("T1", "exempt", "rule", "r"), ("T2", "exempt", "rule", "r")], TABLES["tax_classifications"])
+    store.replace("tax_classifications", rows)
+    store.replace("tax_classifications", store.load("tax_classifications").filter("txn_id = 'T1'"))
+    assert [r.txn_id for r in store.load("tax_classifications").collect()] == ["T1"]
+    broken = rows.withColumn("reasoning", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception):
+        store.replace("tax_classifications", broken)
+    assert store.load("tax_classifications").count() == 1
