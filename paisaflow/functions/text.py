@@ -51,7 +51,7 @@ def repair_json(block: Column) -> Column:
     bracket taken out; the last two outside of text values only."""
     plain = F.translate(block, "\u201c\u201d\u2018\u2019", "\"\"''")
     # a text value matches first and is put back as it is, so the other branch sees what is outside
-    keyed = F.regexp_replace(plain, rf"({_TEXT})|'(\w+)'(?=\s*:)", '$1\u0001$2\u0001')
+    keyed = F.regexp_replace(plain, rf"({_TEXT})|'(\w+)'\s*(?=:)", '$1\u0001$2\u0001')
     keyed = F.regexp_replace(keyed, "\u0001\u0001", "")
     keyed = F.translate(keyed, "\u0001", '"')
     return F.regexp_replace(keyed, rf"({_TEXT})|,(?=\s*[\]}}])", "$1")

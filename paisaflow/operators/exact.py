@@ -13,6 +13,9 @@ from paisaflow.operators.keys import with_order_key
 from paisaflow.schemas import EXACT_TOLERANCE, Tolerance
 
 
+BLANK_PARTS = 64
+
+
 class MatchSplit(NamedTuple):
     matches: DataFrame
     ledger_rest: DataFrame
@@ -67,9 +70,14 @@ def exact_match(
     found = single_pairs(ledger, bank).filter(within).drop("l_amount")
     if keep is not None:
         found = keep(found)
-    # a matched order had one row on each side, so the rest is every row of any other order
-    keys = found.select("order_key")
-    rest = lambda df: with_order_key(df).join(keys, "order_key", "left_anti").drop("order_key")
+    # a matched order had one row on each side, so the rest is every row of any other order;
+    # rows without an order, which may be very many, are spread over the tasks
+    spread = F.when(F.col("order_key") == "", F.pmod(F.xxhash64("source_id"), F.lit(BLANK_PARTS))).otherwise(0)
+    parts = F.when(F.col("order_key") == "", F.sequence(F.lit(0), F.lit(BLANK_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    keys = found.select("order_key", F.explode(parts.cast("array<long>")).alias("_part"))
+    rest = lambda df: with_order_key(df).withColumn("_part", spread.cast("long")).join(
+        keys, ["order_key", "_part"], "left_anti"
+    ).drop("order_key", "_part")
     return MatchSplit(
         found.select(*match_columns("exact", F.col("order_key"))), rest(ledger), rest(bank)
     )

@@ -90,7 +90,10 @@ def review_queue(
     counts = _opposite_rows(ledger, bank).groupBy("order_id", "side").agg(
         F.count("*").alias("candidates")
     )
-    return queue.join(counts, ["order_id", "side"], "left").select(
+    # rows without an order have no candidates and stay out of the join
+    named = queue.filter(F.col("order_id").isNotNull()).join(counts, ["order_id", "side"], "left")
+    blank = queue.filter(F.col("order_id").isNull())
+    return named.unionByName(blank, allowMissingColumns=True).select(
         *exceptions.columns, F.coalesce("l", "b").alias("source_row"),
         F.coalesce("candidates", F.lit(0)).alias("candidates"), "decision", "paired_row_id",
         "note", "reviewer", "decided_at",

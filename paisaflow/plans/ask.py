@@ -40,7 +40,7 @@ def retrieve(
     max_records: int = 15,
 ) -> Context:
     """Records named in the question win over similar ones; statistics always cover all
-    records. The scored report is attached only to scored data (``TXN`` ids)."""
+    records. The scored report is attached only where all data are scored (``TXN`` ids)."""
     ids = re.findall(ID_PATTERN, question)
     if ids:
         hits = named_records(records, ids).orderBy("txn_id").limit(max_records)
@@ -50,8 +50,7 @@ def retrieve(
     asks = lambda keywords: any(k in lowered for k in keywords)
     report = None
     if score_row is not None:
-        first = records.select("txn_id").limit(1).first()
-        if first is not None and first["txn_id"].startswith("TXN"):
+        if records.agg(F.bool_and(F.col("txn_id").startswith("TXN"))).first()[0]:
             report = official_report(score_row)
     return Context(
         hits, aggregate_stats(records), breakdowns(records), report,

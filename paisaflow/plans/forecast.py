@@ -90,7 +90,8 @@ def pipeline_of(features: FeatureSet) -> Pipeline:
         ]
         inputs += hot
     stages += [
-        VectorAssembler(inputCols=inputs, outputCol="features"),
+        # a row with an unknown input is predicted as unknown; training has dropped such rows
+        VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"),
         LinearRegression(featuresCol="features", labelCol=features.target,
                          predictionCol="prediction", solver="normal", regParam=RIDGE),
     ]
@@ -187,7 +188,8 @@ def train_deduction_model(rows: DataFrame) -> DeductionModel:
 
 def _predict(rows: DataFrame, model: PipelineModel, name: str) -> DataFrame:
     made = model.transform(rows)
-    return made.select(*rows.columns, F.col("prediction").alias(name))
+    known = F.when(~F.isnan("prediction"), F.col("prediction"))
+    return made.select(*rows.columns, known.alias(name))
 
 
 def predict_deduction(rows: DataFrame, fee: PipelineModel, refund: PipelineModel) -> DataFrame:
@@ -202,7 +204,10 @@ def predict_transactions(
     """All rows of ``to_features`` with predicted days (2 places) and deduction in [0, 1]
     (4 places), as lazy column work over the whole frame."""
     scored = predict_deduction(_predict(rows, days, "days_prediction"), fee, refund)
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw_deduction")))
+    share = F.when(
+        F.col("raw_deduction").isNotNull(),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw_deduction"))),
+    )
     return scored.select(
         *rows.columns, F.round("days_prediction", 2).alias("predicted_days_to_settle"),
         F.round(share, 4).alias("predicted_deduction_pct"),

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -87,5 +88,7 @@ def side_by_side(
 ) -> list[DataFrame]:
     """``step`` on independent frames at once: their jobs share the executors, so one job's
     last tasks do not leave the rest of the cluster idle."""
+    # threads that keep the caller's job group, pool and tags
+    run = inheritable_thread_target(frames[0].sparkSession)(step)
     with ThreadPoolExecutor(max_workers=len(frames)) as pool:
-        return list(pool.map(step, frames))
+        return list(pool.map(run, frames))

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from paisaflow.operators import daily
 from paisaflow.plans import cash, forecast, learning_curve
@@ -116,6 +117,11 @@ def test_transaction_models(spark, sf_dir):
     out = forecast.predict_transactions(rows, days.model, cuts.fee.model, cuts.refund.model)
     assert out.count() == rows.count()
     assert out.filter("predicted_deduction_pct not between 0 and 1").isEmpty()
+    gap = forecast.predict_transactions(
+        rows.limit(3).withColumn("txn_amount", F.lit(None).cast("double")), days.model, cuts.fee.model,
+        cuts.refund.model,
+    )
+    assert gap.filter("predicted_days_to_settle is null and predicted_deduction_pct is null").count() == 3
     unseen = rows.limit(1).drop("merchant_category").selectExpr("*", "'new' as merchant_category")
     assert days.model.transform(unseen).first().prediction > 0
 
