@@ -8,8 +8,8 @@ grams in it: equal windows have equal minima. So
    that occur once are dropped: none of their windows can occur twice;
 3. texts get back the minima that remain, and each run of windows with one such minimum becomes a
    *piece*, sent by its minimum: all equal windows meet in one task. Equal pieces combine first;
-4. pieces of a minimum with too many bytes are cut anew by longer grams, in the end by whole
-   windows, so no group outgrows a task however common its minimum is;
+4. pieces of a minimum with too many bytes or words are cut anew by longer grams, in the end by
+   whole windows, so no group outgrows a task however common its minimum is;
 5. the operator's own index over the pieces of a task tells which windows are repeats (``marks``);
 6. marks go back to the pieces' places, and spans to their texts.
 """
@@ -29,7 +29,7 @@ from paisaflow.session import cut, forget
 
 PART_BYTES = 8 << 20
 PIECE_WINDOWS = 2_048
-GROUP_BYTES = 1 << 20
+GROUP_UNITS = 1 << 20
 LAST_ID = (1 << 63) - 1
 
 
@@ -179,7 +179,7 @@ def shared_minima(texts: DataFrame, method: Method, parts: int) -> DataFrame:
 
 _PIECE = pa.schema([
     ("key", pa.int64()), ("tid", pa.int64()), ("d", pa.int64()), ("copies", pa.int64()),
-    ("start", pa.int64()), ("content", pa.binary()),
+    ("start", pa.int64()), ("units", pa.int64()), ("content", pa.binary()),
 ])
 
 
@@ -209,6 +209,7 @@ def _pieces(rows: pa.RecordBatch | pa.Table, method: Method, gram: int, known) -
                     out["d"].append(order_[row])
                     out["copies"].append(copies[row])
                     out["start"].append(starts[row] + at)
+                    out["units"].append(stop - at)
                     out["content"].append(win.content(lo + at, lo + stop))
                     held += 100 + len(out["content"][-1])
                     if held > 4 * CHUNK_BYTES:
@@ -218,7 +219,7 @@ def _pieces(rows: pa.RecordBatch | pa.Table, method: Method, gram: int, known) -
             yield out
 
 
-_PIECE_DDL = "key long, tid long, d long, copies long, start long, content binary"
+_PIECE_DDL = "key long, tid long, d long, copies long, start long, units long, content binary"
 
 
 def pieces_of(texts: DataFrame, shared: DataFrame, method: Method, parts: int) -> DataFrame:
@@ -254,16 +255,17 @@ def pieces_of(texts: DataFrame, shared: DataFrame, method: Method, parts: int) -
     ).withColumn("ck", F.xxhash64("content")))
 
 
-def bounded_pieces(pieces: DataFrame, method: Method, limit: int = GROUP_BYTES) -> DataFrame:
-    """The pieces, those of a minimum with over ``limit`` bytes of different ones cut by longer grams.
+def bounded_pieces(pieces: DataFrame, method: Method, limit: int = GROUP_UNITS) -> DataFrame:
+    """The pieces, those of a minimum with over ``limit`` units (bytes or words) of different ones cut
+    by longer grams.
 
     Grams as long as the window leave only equal pieces under one minimum.
     """
     done = []
     for gram in method.grams[1:]:
         heavy = cut(pieces.groupBy("key", "ck").agg(
-            F.first(F.octet_length("content")).alias("b")
-        ).groupBy("key").agg(F.sum("b").alias("b")).filter(F.col("b") > limit).select("key"))
+            F.first("units").alias("units")
+        ).groupBy("key").agg(F.sum("units").alias("units")).filter(F.col("units") > limit).select("key"))
         if not heavy.limit(1).count():
             break
         done.append(pieces.join(heavy, "key", "left_anti"))
@@ -287,7 +289,7 @@ def marks_of(pieces: DataFrame, index, schema: pa.Schema, ddl: str) -> DataFrame
     which starts with ``key`` and ``ck``.
     """
     different = pieces.groupBy("key", "ck", "content").agg(
-        F.min("d").alias("d"), F.sum("copies").alias("weight")
+        F.min("d").alias("d"), F.sum("copies").alias("weight"), F.max("units").alias("units")
     ).repartition("key").sortWithinPartitions("key")
 
     def run(batches):
@@ -305,15 +307,15 @@ def marks_of(pieces: DataFrame, index, schema: pa.Schema, ddl: str) -> DataFrame
                 continue
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
-            bytes_to = np.append(0, np.cumsum([len(c) + 1 for c in batch.column("content").to_pylist()]))
+            units_to = np.append(0, np.cumsum(batch.column("units").to_numpy(zero_copy_only=False) + 1))
             lo = 0
             last = held[-1].column("key")[-1].as_py() if held else None
             for hi in ends.tolist():
-                if last is not None and keys[lo] != last and size >= GROUP_BYTES // 2:
+                if last is not None and keys[lo] != last and size + int(units_to[hi] - units_to[lo]) > GROUP_UNITS:
                     yield from flush(pa.Table.from_batches(held))
                     held, size = [], 0
                 held.append(batch.slice(lo, hi - lo))
-                size += int(bytes_to[hi] - bytes_to[lo])
+                size += int(units_to[hi] - units_to[lo])
                 last, lo = keys[lo], hi
         if held:
             yield from flush(pa.Table.from_batches(held))
@@ -335,7 +337,7 @@ def spans_in_texts(pieces: DataFrame, marks: DataFrame, method: Method, counts)
     )).alias("spans")))
 
 
-def repeated_spans(texts: DataFrame, method: Method, index, counts, limit: int = GROUP_BYTES) -> DataFrame:
+def repeated_spans(texts: DataFrame, method: Method, index, counts, limit: int = GROUP_UNITS) -> DataFrame:
     """Steps 2 to 6: ``tid`` and ``spans`` of every text that holds a repeat."""
     schema = pa.schema([
         ("key", pa.int64()), ("ck", pa.int64()), ("from", pa.list_(pa.int64())),
