@@ -31,6 +31,7 @@ SAMPLE_ROWS = 6_000
 WORD_BITS, DIMENSIONS, NONZERO, REACH = 15, 48, 4, 2
 SHAPE_BITS, SHAPE_DIMENSIONS = 9, 48
 HIDDEN = 32
+BLOCK_WORDS = 50_000
 THRESHOLD = 0.3
 
 
@@ -97,7 +98,8 @@ def word_vectors(owner: np.ndarray, place: np.ndarray) -> np.ndarray:
     table = np.zeros((1 << WORD_BITS) * DIMENSIONS)
     for reach in range(1, REACH + 1):
         near = owner[reach:] == owner[:-reach]
-        for a, b in ((place[reach:][near], place[:-reach][near]), (place[:-reach][near], place[reach:][near])):
+        left, right = place[:-reach][near], place[reach:][near]
+        for a, b in ((right, left), (left, right)):
             for k in range(NONZERO):
                 table += np.bincount(a * DIMENSIONS + at[b, k], sign[b, k], minlength=len(table))
     table = table.reshape(-1, DIMENSIONS)
@@ -106,15 +108,22 @@ def word_vectors(owner: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def pooled(vectors: np.ndarray, rows: int, owner: np.ndarray, place: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    """Per text the mean of its words' vectors and of its shapes' index vectors."""
+    """Per text the mean of its words' vectors and of its shapes' index vectors.
+
+    ``owner`` is sorted; words are taken in blocks, as a vector per word is many times its text.
+    """
     n = np.bincount(owner, minlength=rows)
     out = np.zeros((rows, DIMENSIONS + SHAPE_DIMENSIONS))
-    some = np.flatnonzero(n)
-    if len(some):
-        begin = np.append(0, np.cumsum(n))[some]
-        out[some, :DIMENSIONS] = np.add.reduceat(vectors[place], begin, axis=0)
-        kinds = np.bincount(owner * len(SHAPES) + shape, minlength=rows * len(SHAPES)).reshape(rows, -1)
-        out[:, DIMENSIONS:] = kinds @ SHAPES
+    for lo in range(0, len(owner), BLOCK_WORDS):
+        own = owner[lo:lo + BLOCK_WORDS]
+        texts, begin = np.unique(own, return_index=True)
+        out[texts, :DIMENSIONS] += np.add.reduceat(vectors[place[lo:lo + BLOCK_WORDS]], begin, axis=0)
+        first = own[0]
+        kinds = np.bincount(
+            (own - first) * len(SHAPES) + shape[lo:lo + BLOCK_WORDS],
+            minlength=(own[-1] - first + 1) * len(SHAPES),
+        ).reshape(-1, len(SHAPES))
+        out[first:own[-1] + 1, DIMENSIONS:] += kinds @ SHAPES
     return out / np.maximum(n, 1)[:, None]
 
 
@@ -195,9 +204,9 @@ def fit(sample: DataFrame) -> Network | None:
     if not seen.num_rows:
         return None
     rows = sorted(zip(*(seen.column(c).to_pylist() for c in _SAMPLE.names)))
-    places, shapes = ([np.frombuffer(r[i], np.uint16).astype(np.int64) for r in rows] for i in (2, 3))
-    owner = np.repeat(np.arange(len(rows)), [len(p) for p in places])
-    place, shape = np.concatenate(places), np.concatenate(shapes)
+    places, shapes = ([np.frombuffer(r[i], np.uint16) for r in rows] for i in (2, 3))
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in places])
+    place, shape = np.concatenate(places).astype(np.int32), np.concatenate(shapes).astype(np.int32)
     vectors = word_vectors(owner, place)
     return fit_network(
         vectors, pooled(vectors, len(rows), owner, place, shape), np.array([r[1] for r in rows], float)
