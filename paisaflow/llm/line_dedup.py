@@ -63,7 +63,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     ).agg(F.collect_set("line_no").alias("gone")))
     forget(lines)
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).join(
-        gone, F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("fp") == F.col("g_fp")), "left"
+        # the same plan at every size: documents with removed lines are never few for long
+        gone.hint("merge"),
+        F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("fp") == F.col("g_fp")), "left",
     )
     parts = F.when(F.col("text") != "", F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
     kept = F.when(
