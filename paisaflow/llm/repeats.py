@@ -9,8 +9,9 @@ grams in it: equal windows have equal minima. So
 3. texts get back the minima that remain, and each run of windows with one such minimum becomes a
    *piece*, sent by its minimum: all equal windows meet in one task. Equal pieces combine first;
 4. pieces of a minimum with too many bytes or words are cut anew by longer grams, in the end by
-   whole windows, so no group outgrows a task however common its minimum is;
-5. the operator's own index over the pieces of a task tells which windows are repeats (``marks``);
+   whole windows. All windows under such a last key are equal, however long their run is, so an
+   aggregation over the key settles them, and no group that is indexed outgrows a task;
+5. the operator's own index over the other pieces of a task tells which windows are repeats (``marks``);
 6. marks go back to the pieces' places, and spans to their texts.
 """
 
@@ -184,7 +185,10 @@ _PIECE = pa.schema([
 
 
 def _pieces(rows: pa.RecordBatch | pa.Table, method: Method, gram: int, known) -> Iterator[dict]:
-    """Runs of windows with one minimum; ``known`` gives the minima that count in a row, or is None."""
+    """Runs of windows with one minimum; ``known`` gives the minima that count in a row, or is None.
+
+    If grams are windows, the first window stands for the content of its run.
+    """
     ids, order_, copies, starts = (rows.column(c).to_numpy() for c in ("tid", "d", "copies", "start"))
     for chunk in chunks(rows.column("content")):
         win = method.windows(chunk, method.window, gram)
@@ -210,7 +214,7 @@ def _pieces(rows: pa.RecordBatch | pa.Table, method: Method, gram: int, known) -
                     out["copies"].append(copies[row])
                     out["start"].append(starts[row] + at)
                     out["units"].append(stop - at)
-                    out["content"].append(win.content(lo + at, lo + stop))
+                    out["content"].append(win.content(lo + at, lo + (at + gram if gram == method.window else stop)))
                     held += 100 + len(out["content"][-1])
                     if held > 4 * CHUNK_BYTES:
                         yield out
@@ -255,17 +259,17 @@ def pieces_of(texts: DataFrame, shared: DataFrame, method: Method, parts: int) -
     ).withColumn("ck", F.xxhash64("content")))
 
 
-def bounded_pieces(pieces: DataFrame, method: Method, limit: int = GROUP_UNITS) -> DataFrame:
-    """The pieces, those of a minimum with over ``limit`` units (bytes or words) of different ones cut
-    by longer grams.
-
-    Grams as long as the window leave only equal pieces under one minimum.
+def bounded_pieces(
+    pieces: DataFrame, method: Method, limit: int = GROUP_UNITS
+) -> tuple[DataFrame, DataFrame | None]:
+    """The pieces, those of a minimum with over ``limit`` symbols (bytes or words, and an end each) of
+    different ones cut by longer grams; and apart the runs of equal windows that the last cut leaves.
     """
     done = []
     for gram in method.grams[1:]:
         heavy = cut(pieces.groupBy("key", "ck").agg(
             F.first("units").alias("units")
-        ).groupBy("key").agg(F.sum("units").alias("units")).filter(F.col("units") > limit).select("key"))
+        ).groupBy("key").agg(F.sum(F.col("units") + 1).alias("units")).filter(F.col("units") > limit).select("key"))
         if not heavy.limit(1).count():
             break
         done.append(pieces.join(heavy, "key", "left_anti"))
@@ -274,16 +278,21 @@ def bounded_pieces(pieces: DataFrame, method: Method, limit: int = GROUP_UNITS)
             again, _PIECE_DDL
         ).withColumn("ck", F.xxhash64("content")))
     if not done:
-        return pieces
-    for part in done:
-        pieces = pieces.unionByName(part)
-    return cut(pieces)
+        return pieces, None
+    settled = pieces if len(done) == len(method.grams) - 1 else None
+    if settled is None:
+        done.append(pieces)
+    indexed = done[0]
+    for part in done[1:]:
+        indexed = indexed.unionByName(part)
+    return cut(indexed), settled
 
 
 # ---- steps 5 and 6 ----------------------------------------------------------------------------
 
 def marks_of(pieces: DataFrame, index, schema: pa.Schema, ddl: str) -> DataFrame:
-    """``index`` over the different pieces of whole groups, a few megabytes at a time.
+    """``index`` over the different pieces of whole groups, at most ``GROUP_UNITS`` symbols at a time
+    or one larger group.
 
     It gets keys, contents, smallest ``d`` and total weight, and yields columns of ``schema``,
     which starts with ``key`` and ``ck``.
@@ -293,8 +302,10 @@ def marks_of(pieces: DataFrame, index, schema: pa.Schema, ddl: str) -> DataFrame
     ).repartition("key").sortWithinPartitions("key")
 
     def run(batches):
+        # whole groups, and what has come so far of the last one
         held: list[pa.RecordBatch] = []
-        size = 0
+        group: list[pa.RecordBatch] = []
+        size = group_size = 0
 
         def flush(table):
             for columns in index(table):
@@ -309,29 +320,50 @@ def marks_of(pieces: DataFrame, index, schema: pa.Schema, ddl: str) -> DataFrame
             ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
             units_to = np.append(0, np.cumsum(batch.column("units").to_numpy(zero_copy_only=False) + 1))
             lo = 0
-            last = held[-1].column("key")[-1].as_py() if held else None
+            last = group[-1].column("key")[-1].as_py() if group else None
             for hi in ends.tolist():
-                if last is not None and keys[lo] != last and size + int(units_to[hi] - units_to[lo]) > GROUP_UNITS:
-                    yield from flush(pa.Table.from_batches(held))
-                    held, size = [], 0
-                held.append(batch.slice(lo, hi - lo))
-                size += int(units_to[hi] - units_to[lo])
+                if group and keys[lo] != last:
+                    if held and size + group_size > GROUP_UNITS:
+                        yield from flush(pa.Table.from_batches(held))
+                        held, size = [], 0
+                    held += group
+                    size += group_size
+                    group, group_size = [], 0
+                group.append(batch.slice(lo, hi - lo))
+                group_size += int(units_to[hi] - units_to[lo])
                 last, lo = keys[lo], hi
-        if held:
+        if held and size + group_size > GROUP_UNITS:
             yield from flush(pa.Table.from_batches(held))
+            held = []
+        if group:
+            yield from flush(pa.Table.from_batches(held + group))
 
     return cut(different.mapInArrow(run, ddl))
 
 
-def spans_in_texts(pieces: DataFrame, marks: DataFrame, method: Method, counts) -> DataFrame:
+def settled_marks(settled: DataFrame, method: Method) -> DataFrame:
+    """tid, d, start and mark of each run whose one window has two places or more."""
+    windows = F.col("units") - (method.window - 1)
+    least = settled.groupBy("key", "ck", "content").agg(
+        F.min("d").alias("g"), F.sum(F.col("copies") * windows).alias("places")
+    ).filter(F.col("places") > 1).select("key", "ck", "g")
+    return settled.select("key", "ck", "tid", "d", "start", "units").join(least, ["key", "ck"]).select(
+        "tid", "d", "start",
+        F.struct(F.lit(0).cast("long").alias("from"), windows.alias("to"), F.col("g").alias("g")).alias("m"),
+    )
+
+
+def spans_in_texts(pieces: DataFrame, marks: DataFrame, settled: DataFrame | None, method: Method, counts) -> DataFrame:
     """tid and its spans (start, stop in units, unordered) from marks (key, ck, from, to, g arrays).
 
     ``counts`` is a condition on ``d`` of the place and ``m.g`` of the mark.
     """
     found = pieces.select("key", "ck", "tid", "d", "start").join(marks, ["key", "ck"]).select(
         "tid", "d", "start", F.explode(F.arrays_zip("from", "to", "g")).alias("m")
-    ).filter(counts)
-    return cut(found.groupBy("tid").agg(F.collect_list(F.struct(
+    )
+    if settled is not None:
+        found = found.unionByName(settled_marks(settled, method))
+    return cut(found.filter(counts).groupBy("tid").agg(F.collect_list(F.struct(
         (F.col("start") + F.col("m.from")).alias("start"),
         (F.col("start") + F.col("m.to") + method.window - 1).alias("stop"),
     )).alias("spans")))
@@ -348,14 +380,14 @@ def repeated_spans(texts: DataFrame, method: Method, index, counts, limit: int =
     shared = shared_minima(texts, method, parts)
     every = pieces_of(texts, shared, method, parts)
     forget(shared)
-    pieces = bounded_pieces(every, method, limit)
+    pieces, settled = bounded_pieces(every, method, limit)
     if pieces is not every:
         forget(every)
     marks = marks_of(
         pieces, index, schema, "key long, ck long, from array<long>, to array<long>, g array<long>"
     )
-    spans = spans_in_texts(pieces, marks, method, counts)
-    forget(pieces, marks)
+    spans = spans_in_texts(pieces, marks, settled, method, counts)
+    forget(pieces, marks, *([settled] if settled is not None else []))
     return spans
 
 

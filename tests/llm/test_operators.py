@@ -82,6 +82,34 @@ def test_substring(table, odd_rows, limit):
     assert got == sorted(brute.word_repeats(odd_rows), key=str)
 
 
+def test_long_runs_of_one_symbol_of_every_length(table):
+    """One window in pieces of 1 to 2,048 windows, together over the 2**21 symbols an index can hold."""
+    rows = [(i, "A" * (50 + i), "en", "a", 0) for i in range(2048)]
+    got = suffix_array_dedup.dedup(table(rows)).collect()
+    assert {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got} == {
+        (i, 50 + i, 50 + i if i else 0, int(i > 0)) for i in range(2048)
+    }
+    rows = [(i, "a " * (35 + i), "en", "a", 0) for i in range(2048)] + [(5000, "b " * 35, "en", "a", 0), (5001, "c " * 36, "en", "a", 0)]
+    got = substring_dedup.dedup(table(rows)).collect()
+    assert {(r["doc_id"], r["n_words"], r["n_removed"]) for r in got} == {
+        *((i, 35 + i, 35 + i) for i in range(2048)), (5000, 35, 0), (5001, 36, 36)
+    }
+
+
+@pytest.mark.parametrize("limit", [60, 2000])
+def test_runs_settled_without_an_index(table, limit):
+    chance = random.Random(11)
+    rows = []
+    for i in range(60):
+        runs = [chance.choice("AB") * chance.choice([5, 49, 50, 51, 80, 130]) + chance.choice(["", "x", "some more text"]) for _ in range(3)]
+        rows.append((chance.choice([None, *range(40)]), "".join(runs), "en", "a", 0))
+    got = tuples(suffix_array_dedup.dedup(table(rows), limit), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute.byte_repeats(rows), key=str)
+    rows = [(r[0], " ".join(r[1]), "en", "a", 0) for r in rows] + [(900, "once " * 35, "en", "a", 0), (901, "twice " * 36, "en", "a", 0)]
+    got = tuples(substring_dedup.dedup(table(rows), limit), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(brute.word_repeats(rows), key=str)
+
+
 def test_open_boundaries_equal_common_prefixes():
     from paisaflow.llm.repeats import sort_suffixes
 
