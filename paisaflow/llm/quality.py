@@ -9,7 +9,7 @@ words of both. A network of one hidden layer gives a logit, and a temperature, f
 network has not seen, makes it a probability.
 
 All is fitted on at most ``SAMPLE_ROWS`` labelled rows (a documented bound) on the driver and sent to
-the tasks that score every row; no text is shuffled. Null or empty texts pool to zeros and get
+the tasks that score every row; no text but the sample's is shuffled. Null or empty texts pool to zeros and get
 the network's answer to that. Null ids are scored too. Repeated rows score alike. Without any
 labelled row every score is 1, so that a filter drops nothing. Only ``doc_id`` and ``text`` are read;
 ``doc_id`` decides who is held out and is no input of a score.

@@ -6,7 +6,7 @@ of their factor vectors, so that an insult beside a mention of a group can weigh
 apart. Weights are learned first alone, with a penalty that sets those of chance terms to zero;
 factors then for the terms that are left, which keeps the model small and long texts from drowning
 in noise. The model is fitted on at most ``SAMPLE_ROWS`` labelled rows (a documented bound) on
-the driver and is sent to the tasks that score every row; no text is shuffled.
+the driver and is sent to the tasks that score every row; no text but the sample's is shuffled.
 
 Null or empty texts have no terms: their score is that of the intercept. Null ids are scored too.
 Repeated rows score alike. Without any labelled row every score is 0. Only ``doc_id`` and ``text``

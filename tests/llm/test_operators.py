@@ -272,6 +272,16 @@ def labelled(spark, table):
     return rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_sample_has_one_row_per_id(spark, table):
+    from paisaflow.llm.labelled import training_sample
+
+    rows = [(7, f"text {i}" if i else None, "en", "a", 0) for i in range(300)] + [(8, "other", "en", "a", 0)]
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int")
+    never = exact_dedup.F.lit(False)
+    got = [tuples(training_sample(table(rows).repartition(n), labels, "toxic", never, 10), "doc_id", "text", "label") for n in (1, 5)]
+    assert [(r[0], r[2]) for r in got[0]] == [(7, 1), (8, 0)] and got[0] == got[1]
+
+
 def accuracy(got, rows, wanted):
     label = {r[0]: wanted(r[0]) for r in rows}
     return sum(label[i] == (s >= 0.3) for i, s in got) / len(got)
