@@ -254,6 +254,24 @@ def test_sharding_is_level_and_keeps_small_groups():
     assert (sums[:, 0].max() / sums[:, 0].mean()) < 1.01
 
 
+def test_sharding_keeps_its_law(table):
+    """Bytes near equal over shards, with many copies and one group of many shards' bytes."""
+    import zlib
+
+    chance = random.Random(2)
+    rows = [(i, "copy of one text", "en", "a", 0) for i in range(900)]
+    rows += [(2000 + i, "hot " * 25, "en", "a", 0) for i in range(2000)]
+    rows += [(5000 + i, f"{i} " * chance.randrange(1, 60), "en", "b", 0) for i in range(4000)]
+    got = sharding.sharded(table(rows, extra=True)).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    hot = got[got["doc_id"].between(2000, 3999)]
+    assert hot["size"].sum() > sums.mean() and hot["shard"].nunique() > 1
+    assert len(sums) == sharding.SHARDS and sums.max() < 1.01 * sums.mean() and sums.min() > 0.99 * sums.mean()
+    assert set(got["law"]) == {"bytes"} and got["grown_shard"].isna().all()
+    text = {r[0]: r[1].encode() for r in rows}
+    assert all(c == zlib.crc32(text[i]) and n == len(text[i]) + 8 for i, c, n in zip(got["doc_id"], got["text_crc32"], got["size"]))
+
+
 def labelled(spark, table):
     chance = random.Random(8)
     calm = "the of and house river morning bread window paper road cloud stone green quiet".split()
