@@ -1,15 +1,16 @@
 """Quality by random-indexing word vectors and a small calibrated network.
 
 Every word has a sparse random index vector that follows from its hash. A word's vector is the sum
-of the index vectors of its neighbours over the sample, of length one; words share
-``1 << WORD_BITS`` hashed places, so the table has a fixed size. Beside each word stands a word for its
+of the index vectors of its neighbours over all documents, of length one; words share
+``1 << WORD_BITS`` hashed places, so the table has a fixed size: each task sums its own, and Spark
+adds them by place. Beside each word stands a word for its
 shape (case, digits, marks at its end, length, the word before repeated), whose index vector is
 pooled as well: junk differs from prose in shapes more than in words. A text is the mean over its
 words of both. A network of one hidden layer gives a logit, and a temperature, fitted on rows the
 network has not seen, makes it a probability.
 
-All is fitted on at most ``SAMPLE_ROWS`` labelled rows (a documented bound) on the driver and sent to
-the tasks that score every row; no text but the sample's is shuffled. Null or empty texts pool to zeros and get
+The network is fitted on at most ``SAMPLE_ROWS`` labelled rows (a documented bound) on the driver and
+sent with the table to the tasks that score every row; no text but the sample's is shuffled. Null or empty texts pool to zeros and get
 the network's answer to that. Null ids are scored too. Repeated rows score alike. Without any
 labelled row every score is 1, so that a filter drops nothing. Only ``doc_id`` and ``text`` are read;
 ``doc_id`` decides who is held out and is no input of a score.
@@ -92,17 +93,49 @@ def text_words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, place, shape.astype(np.int64)
 
 
-def word_vectors(owner: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Sums of the neighbours' index vectors, each of length one; words of one text only."""
-    at, sign = index_vectors(np.arange(1 << WORD_BITS, dtype=np.uint64) + np.uint64(1 << 40), DIMENSIONS)
-    table = np.zeros((1 << WORD_BITS) * DIMENSIONS)
+def add_neighbours(table: np.ndarray, index, owner: np.ndarray, place: np.ndarray) -> None:
+    """Add to ``table`` (flat) the index vectors of each word's neighbours; words of one text only."""
+    at, sign = index
     for reach in range(1, REACH + 1):
-        near = owner[reach:] == owner[:-reach]
-        left, right = place[:-reach][near], place[reach:][near]
-        for a, b in ((right, left), (left, right)):
-            for k in range(NONZERO):
-                table += np.bincount(a * DIMENSIONS + at[b, k], sign[b, k], minlength=len(table))
-    table = table.reshape(-1, DIMENSIONS)
+        for lo in range(0, len(place) - reach, BLOCK_WORDS):
+            hi = min(lo + BLOCK_WORDS, len(place) - reach)
+            near = owner[lo + reach:hi + reach] == owner[lo:hi]
+            left, right = place[lo:hi][near], place[lo + reach:hi + reach][near]
+            for a, b in ((right, left), (left, right)):
+                for k in range(NONZERO):
+                    np.add.at(table, a * DIMENSIONS + at[b, k], sign[b, k])
+
+
+_SUMS = pa.schema([("place", pa.int64()), *[(f"v{k}", pa.int64()) for k in range(DIMENSIONS)]])
+
+
+def _partial_sums(batches):
+    index = index_vectors(np.arange(1 << WORD_BITS, dtype=np.uint64) + np.uint64(1 << 40), DIMENSIONS)
+    table = np.zeros((1 << WORD_BITS) * DIMENSIONS)
+    for batch in batches:
+        for chunk in chunks(batch.column("text")):
+            owner, place, _ = text_words(chunk)
+            add_neighbours(table, index, owner, place)
+    table = table.reshape(-1, DIMENSIONS).astype(np.int64)
+    live = np.flatnonzero(table.any(axis=1))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(live), *[pa.array(table[live, k]) for k in range(DIMENSIONS)]], schema=_SUMS
+    )
+
+
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """Sums of the neighbours' index vectors over all texts, each of length one.
+
+    They are sums of whole numbers, so no order of tasks can change them.
+    """
+    ddl = ", ".join(f"{name} long" for name in _SUMS.names)
+    found = docs.select("text").mapInArrow(_partial_sums, ddl).groupBy("place").agg(
+        *[F.sum(name).alias(name) for name in _SUMS.names[1:]]
+    ).toArrow()
+    table = np.zeros((1 << WORD_BITS, DIMENSIONS))
+    place = found.column("place").to_numpy()
+    for k, name in enumerate(_SUMS.names[1:]):
+        table[place, k] = found.column(name).to_numpy()
     size = np.linalg.norm(table, axis=1, keepdims=True)
     return (table / np.where(size > 0, size, 1.0)).astype(np.float32)
 
@@ -196,8 +229,9 @@ def _sample_words(batch: pa.RecordBatch):
         }
 
 
-def fit(sample: DataFrame) -> Network | None:
-    """The network for a bounded sample (doc_id, text, label); None without rows."""
+def fit(sample: DataFrame, docs: DataFrame) -> Network | None:
+    """The network for a bounded sample (doc_id, text, label) and the words of all ``docs``; None
+    without rows in the sample."""
     seen = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInArrow(
         by_batch(_sample_words, _SAMPLE), "doc_id long, label int, places binary, shapes binary"
     ).toArrow()
@@ -207,7 +241,7 @@ def fit(sample: DataFrame) -> Network | None:
     places, shapes = ([np.frombuffer(r[i], np.uint16) for r in rows] for i in (2, 3))
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in places])
     place, shape = np.concatenate(places).astype(np.int32), np.concatenate(shapes).astype(np.int32)
-    vectors = word_vectors(owner, place)
+    vectors = word_vectors(docs)
     return fit_network(
         vectors, pooled(vectors, len(rows), owner, place, shape), np.array([r[1] for r in rows], float)
     )
@@ -241,7 +275,7 @@ def filtered(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Network | None:
-    return fit(training_sample(docs, labels, "quality", held_out(5, 0), SAMPLE_ROWS))
+    return fit(training_sample(docs, labels, "quality", held_out(5, 0), SAMPLE_ROWS), docs)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -347,6 +347,26 @@ def test_quality(spark, table, odd_rows):
     assert len(odd) == len(odd_rows) and all(0 <= r[quality.SCORE] <= 1 for r in odd)
 
 
+def test_word_vectors_cover_all_documents(spark, table, odd_rows):
+    import pyarrow as pa
+
+    rows, labels = labelled(spark, table)
+    rows = rows + odd_rows + [(10 ** 7 + i, "never labelled words stand here", "en", "a", 0) for i in range(3)]
+    net = quality.trained(table(rows, extra=True).repartition(4), labels)
+    at, sign = quality.index_vectors(np.arange(1 << quality.WORD_BITS, dtype=np.uint64) + np.uint64(1 << 40), quality.DIMENSIONS)
+    want = np.zeros(net.vectors.shape)
+    for r in rows:
+        own = [p for c in quality.chunks(pa.array([r[1]], pa.string())) for p in quality.text_words(c)[1].tolist()]
+        for i, word in enumerate(own):
+            for other in own[max(0, i - quality.REACH):i] + own[i + 1:i + 1 + quality.REACH]:
+                for k in range(quality.NONZERO):
+                    want[word, at[other, k]] += sign[other, k]
+    size = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(net.vectors, want / np.where(size > 0, size, 1), atol=1e-5)
+    new = [p for c in quality.chunks(pa.array([rows[-1][1]])) for p in quality.text_words(c)[1].tolist()]
+    assert np.allclose(np.linalg.norm(net.vectors[new], axis=1), 1, atol=1e-4)
+
+
 def test_empty_tables(spark, table):
     none = table([])
     benchmark = spark.createDataFrame([], "item_id long, text string")
