@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from paisaflow.llm import (
-    decontamination, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup,
+    collocations, decontamination, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup,
     suffix_array_dedup, toxicity,
 )
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality": quality.op10_quality,
+    "op11_collocations": collocations.op11_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -28,4 +29,5 @@ ORACLES = {
     "op3_mixing": mixing.OP3_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op11_collocations": collocations.OP11_SQL,
 }
