@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from paisaflow.llm import (
-    collocations, decontamination, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup,
+    alignment, collocations, decontamination, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup,
     suffix_array_dedup, toxicity,
 )
 
@@ -20,6 +20,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_quality": quality.op10_quality,
     "op11_collocations": collocations.op11_collocations,
+    "op13_alignment": alignment.op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
