@@ -19,7 +19,7 @@ products are decimals. Words are compared as words; hashes only choose cells and
 
 A null text has no words, a null ``lang`` is ``und``; rows that repeat each other count each; ties go by
 the order of the ranking (score, count, phrase), which is total. A very long text is a chunk of its own and
-needs some thirty times its size in a task. An empty table gives an empty result. Other columns are not read.
+needs some forty times its size in a task. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from paisaflow.llm.frames import by_batch, documents
@@ -43,17 +44,22 @@ _BETWEEN[[0x20, 0x09]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A"):ord("Z") + 1] += 32
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
 GROUP_BUDGET = 1 << 21          # suffixes
 WORD_BITS = 23                  # cells of the bitmap of frequent words
 MOST_CELLS = 1 << 24
 
 
 class Tokens(NamedTuple):
-    code: np.ndarray            # per word occurrence, its place in names
+    code: np.ndarray            # per word occurrence, its name: language and word
     piece: np.ndarray           # per word occurrence, increasing with its piece
-    names: pa.Array             # language, tab, word
-    hash: np.ndarray            # per name
+    lang: pa.Array              # per name
+    word: pa.Array
+    hash: np.ndarray
+
+    def names(self) -> pa.Array:
+        """Language, tab, word; words hold no tab."""
+        return pc.binary_join_element_wise(self.lang.cast(pa.binary()), self.word, b"\t")
 
 
 def tokens(chunk: Chunk, lang: pa.Array) -> Tokens:
@@ -72,12 +78,12 @@ def tokens(chunk: Chunk, lang: pa.Array) -> Tokens:
     both, code = np.unique(word * n + own, return_inverse=True)
     of_word = np.zeros(len(each.dictionary), np.uint64)
     of_word[word] = found.hash
-    tags = [t.encode() + b"\t" for t in langs.dictionary.to_pylist()]
-    of_lang = np.array([zlib.crc32(t) for t in tags] or [0], np.uint64)
-    spelled = each.dictionary.to_pylist()
-    names = pa.array([tags[b % n] + spelled[b // n] for b in both.tolist()], pa.binary())
+    of_lang = np.array([zlib.crc32(t.encode()) for t in langs.dictionary.to_pylist()] or [0], np.uint64)
     piece = np.cumsum(_ENDS_PIECE[data])[found.start] + row if len(row) else row
-    return Tokens(code, piece, names, mix(of_word[both // n] ^ mix(of_lang[both % n])))
+    return Tokens(
+        code, piece, langs.dictionary.take(pa.array(both % n)),
+        each.dictionary.cast(pa.binary()).take(pa.array(both // n)), mix(of_word[both // n] ^ mix(of_lang[both % n])),
+    )
 
 
 def _extend(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -115,11 +121,10 @@ def _prefix_counts(batch: pa.RecordBatch, max_words: int, cells: int):
     for t in _tagged(batch):
         if not len(t.code):
             continue
-        split = [name.rsplit(b"\t", 1) for name in t.names.to_pylist()]
         yield {
-            "lang": [a.decode() for a, _ in split], "word": [b.decode() for _, b in split],
-            "h": t.hash.view(np.int64), "level": np.ones(len(split), np.int32),
-            "cell": np.zeros(len(split), np.int32), "n": np.bincount(t.code, minlength=len(split)),
+            "lang": t.lang, "word": t.word.cast(pa.string()), "h": t.hash.view(np.int64),
+            "level": np.ones(len(t.hash), np.int32), "cell": np.zeros(len(t.hash), np.int32),
+            "n": np.bincount(t.code, minlength=len(t.hash)),
         }
         h = t.hash[t.code]
         for level in range(2, max_words):
@@ -170,7 +175,7 @@ def entries(t: Tokens, frequent: np.ndarray, heavy: list[np.ndarray], max_words:
     """
     usable = frequent[(t.hash & np.uint64(len(frequent) - 1)).astype(np.int64)][t.code]
     goes_on = usable.copy()
-    cols = np.full((len(t.code), max_words), -1, np.int64)
+    cols = np.full((len(t.code), max_words), -1, np.int32)
     cols[:, 0] = t.code
     prefix = np.zeros((len(t.code), max_words), np.uint64)
     prefix[:, 0] = t.hash[t.code]
@@ -221,18 +226,19 @@ def _suffixes(batch: pa.RecordBatch, frequent, heavy, max_words: int, parts: int
         order = np.argsort(part, kind="stable")
         cols, low, n, part = cols[order], low[order], n[order], part[order]
         begin = np.flatnonzero(np.diff(part, prepend=-1))
-        place = np.zeros(len(t.names) + 1, np.int64)
+        place = np.zeros(len(t.hash) + 1, np.int64)
+        every = t.names()
         out = {name: [] for name in _PACKED.names}
         for a, b in zip(begin, np.append(begin[1:], len(part))):
             mine = cols[a:b].ravel() + 1
             used = np.unique(mine)
             used = used[used > 0]
             place[used] = np.arange(1, len(used) + 1)
-            names = t.names.take(pa.array(used - 1))
-            size = np.diff(np.frombuffer(names.buffers()[1], np.int32)[:len(used) + 1])
+            names = every.take(pa.array(used - 1))
+            bounds = np.frombuffer(names.buffers()[1], np.int32)[names.offset:names.offset + len(used) + 1]
             out["part"].append(int(part[a]))
-            out["names"].append(b"".join(names.to_pylist()))
-            out["sizes"].append(size.astype(np.uint32).tobytes())
+            out["names"].append(names.buffers()[2][int(bounds[0]):int(bounds[-1])].to_pybytes())
+            out["sizes"].append(np.diff(bounds).astype(np.uint32).tobytes())
             out["codes"].append(place[mine].astype(np.uint16 if len(used) < 65535 else np.uint32).tobytes())
             out["low"].append(low[a:b].astype(np.uint8).tobytes())
             out["n"].append(n[a:b].astype(np.uint32).tobytes())
@@ -256,18 +262,18 @@ def subtree(table: pa.Table, max_words: int, min_count: int) -> pa.Table:
         own_low = np.frombuffer(get("low"), np.uint8)
         raw = get("codes")
         wide = raw.size == 4 * max_words * len(own_low)
-        own = np.frombuffer(raw, np.uint32 if wide else np.uint16).reshape(-1, max_words).astype(np.int64)
-        codes.append(np.where(own > 0, own + first - 1, 0))
+        own = np.frombuffer(raw, np.uint32 if wide else np.uint16).reshape(-1, max_words).astype(np.int32)
+        codes.append(np.where(own > 0, own + np.int32(first - 1), np.int32(0)))
         low.append(own_low)
         n.append(np.frombuffer(get("n"), np.uint32))
         first += len(size)
     spelled = pa.chunked_array(names).combine_chunks().dictionary_encode() if first > 1 else None
     lang, phrase, size, count = [], [], [], []
     if spelled is not None:
-        merged = np.concatenate([[0], spelled.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1])
+        merged = np.concatenate([[0], spelled.indices.to_numpy(zero_copy_only=False) + 1]).astype(np.int32)
         codes, low, n = merged[np.concatenate(codes)], np.concatenate(low), np.concatenate(n).astype(np.int64)
         base = len(spelled.dictionary) + 1
-        node = codes[:, 0]
+        node = codes[:, 0].astype(np.int64)
         for depth in range(2, max_words + 1):
             # the subtree of an entry whose light prefix is longer begins there
             grown = codes[:, depth - 1] > 0
