@@ -151,10 +151,33 @@ def _bitmap(found: DataFrame, bits: int) -> np.ndarray:
 
 # ---- second pass: suffixes to their groups --------------------------------------------------------
 
-_PACKED = pa.schema([
-    ("part", pa.int64()), ("names", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()),
-    ("low", pa.binary()), ("n", pa.binary()),
-])
+_PACKED = pa.schema([("part", pa.int64()), ("raw", pa.int64()), ("packed", pa.binary())])
+
+
+def pack(names: pa.Array, codes: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[int, bytes]:
+    """Names and entries (codes from 1 on, 0 after the end), column after column, compressed."""
+    bounds = np.frombuffer(names.buffers()[1], np.int32)[names.offset:names.offset + len(names) + 1]
+    wide = np.uint16 if len(names) < 65535 else np.uint32
+    raw = b"".join([
+        np.array([len(names), len(low), codes.shape[1], np.dtype(wide).itemsize], np.int64).tobytes(),
+        np.diff(bounds).astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(),
+        np.ascontiguousarray(codes.T).astype(wide).tobytes(), low.astype(np.uint8).tobytes(),
+        names.buffers()[2][int(bounds[0]):int(bounds[-1])].to_pybytes() if len(names) else b"",
+    ])
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(size: int, packed: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True)
+    n_names, rows, depth, width = np.frombuffer(raw, np.int64, 4).tolist()
+    at = 32
+    parts = []
+    for count, kind in ((n_names, np.uint32), (rows, np.uint32), (rows * depth, np.uint16 if width == 2 else np.uint32), (rows, np.uint8)):
+        parts.append(np.frombuffer(raw, kind, count, at))
+        at += count * np.dtype(kind).itemsize
+    ends = np.concatenate([[0], np.cumsum(parts[0])]).astype(np.int32)
+    names = pa.Array.from_buffers(pa.binary(), n_names, [None, pa.py_buffer(ends), pa.py_buffer(raw[at:])])
+    return names, parts[2].reshape(depth, rows).T.astype(np.int32), parts[3], parts[1]
 
 
 def _combined(cols: np.ndarray, low: np.ndarray, h: np.ndarray):
@@ -223,26 +246,19 @@ def _suffixes(batch: pa.RecordBatch, frequent, heavy, max_words: int, parts: int
             continue
         cols, low, n, h = entries(t, frequent, heavy, max_words)
         part = ((mix(h) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        order = np.argsort(part * len(t.hash) + cols[:, 0], kind="stable")
         cols, low, n, part = cols[order], low[order], n[order], part[order]
         begin = np.flatnonzero(np.diff(part, prepend=-1))
         place = np.zeros(len(t.hash) + 1, np.int64)
         every = t.names()
-        out = {name: [] for name in _PACKED.names}
+        packed = []
         for a, b in zip(begin, np.append(begin[1:], len(part))):
-            mine = cols[a:b].ravel() + 1
+            mine = cols[a:b] + 1
             used = np.unique(mine)
             used = used[used > 0]
             place[used] = np.arange(1, len(used) + 1)
-            names = every.take(pa.array(used - 1))
-            bounds = np.frombuffer(names.buffers()[1], np.int32)[names.offset:names.offset + len(used) + 1]
-            out["part"].append(int(part[a]))
-            out["names"].append(names.buffers()[2][int(bounds[0]):int(bounds[-1])].to_pybytes())
-            out["sizes"].append(np.diff(bounds).astype(np.uint32).tobytes())
-            out["codes"].append(place[mine].astype(np.uint16 if len(used) < 65535 else np.uint32).tobytes())
-            out["low"].append(low[a:b].astype(np.uint8).tobytes())
-            out["n"].append(n[a:b].astype(np.uint32).tobytes())
-        yield out
+            packed.append(pack(every.take(pa.array(used - 1)), place[mine], low[a:b], n[a:b]))
+        yield {"part": part[begin], "raw": [p[0] for p in packed], "packed": [p[1] for p in packed]}
 
 
 # ---- subtrees ---------------------------------------------------------------------------------------
@@ -254,19 +270,13 @@ def subtree(table: pa.Table, max_words: int, min_count: int) -> pa.Table:
     """Nodes of at least ``min_count`` of one group, grown level by level from its suffixes."""
     codes, low, n, names = [], [], [], []
     first = 1
-    for row in range(table.num_rows):
-        get = lambda c: table.column(c)[row].as_buffer()
-        size = np.frombuffer(get("sizes"), np.uint32)
-        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        names.append(pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), get("names")]))
-        own_low = np.frombuffer(get("low"), np.uint8)
-        raw = get("codes")
-        wide = raw.size == 4 * max_words * len(own_low)
-        own = np.frombuffer(raw, np.uint32 if wide else np.uint16).reshape(-1, max_words).astype(np.int32)
+    for size, packed in zip(table.column("raw").to_pylist(), table.column("packed")):
+        own_names, own, own_low, own_n = unpack(size, packed.as_buffer())
+        names.append(own_names)
         codes.append(np.where(own > 0, own + np.int32(first - 1), np.int32(0)))
         low.append(own_low)
-        n.append(np.frombuffer(get("n"), np.uint32))
-        first += len(size)
+        n.append(own_n)
+        first += len(own_names)
     spelled = pa.chunked_array(names).combine_chunks().dictionary_encode() if first > 1 else None
     lang, phrase, size, count = [], [], [], []
     if spelled is not None:
@@ -327,8 +337,8 @@ def phrase_counts(
         return by_batch(lambda batch: _suffixes(batch, flags, heavies, max_words, parts), _PACKED)(batches)
 
     nodes = cut(source.mapInArrow(
-        suffixes_of, "part long, names binary, sizes binary, codes binary, low binary, n binary"
-    ).groupBy("part").applyInArrow(
+        suffixes_of, "part long, raw long, packed binary"
+    ).repartition(parts, "part").groupBy("part").applyInArrow(
         lambda table: subtree(table, max_words, min_count), "lang string, phrase string, words int, a long"
     ))
     return single.select("lang", "word", "n"), nodes

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from paisaflow.llm import (
-    alignment, collocations, decontamination, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup,
-    suffix_array_dedup, toxicity,
+    alignment, collocations, decontamination, exact_dedup, line_dedup, mixing, near_dedup, ngram_join, quality,
+    sharding, substring_dedup, suffix_array_dedup, toxicity,
 )
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_quality": quality.op10_quality,
     "op11_collocations": collocations.op11_collocations,
+    "op12_ngram_join": ngram_join.op12_ngram_join,
     "op13_alignment": alignment.op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
@@ -31,4 +32,5 @@ ORACLES = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op11_collocations": collocations.OP11_SQL,
+    "op12_ngram_join": ngram_join.OP12_SQL,
 }
