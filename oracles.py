@@ -40,6 +40,22 @@ from (select *, {shapes.KIND} as kind from (
 where kind <> 'missing' and (copy = 0 or kind = 'duplicate')"""
 
 
+def _mutual(name: str, edges: str) -> dict[str, str]:
+    """The same choice over one large key: pairs that prefer each other leave together, round by round."""
+    first = "row_number() over (partition by {} order by score, l_id, b_id) = 1"
+    return {
+        f"{name}_rounds(l_id, b_id, score, diff, hours, taken)": f"""
+select l_id, b_id, score, diff, hours, false from {edges}
+union all
+select l_id, b_id, score, diff, hours, taken from (
+  select *, bool_or(taken) over (partition by l_id) as l_gone, bool_or(taken) over (partition by b_id) as b_gone
+  from (select l_id, b_id, score, diff, hours, {first.format('l_id')} and {first.format('b_id')} as taken
+    from {name}_rounds where not taken))
+where taken or not (l_gone or b_gone)""",
+        f"{name}": f"select l_id, b_id, diff, hours from {name}_rounds where taken",
+    }
+
+
 def _greedy(name: str, edges: str) -> dict[str, str]:
     """Sequential greedy choice over an edge table, one step per list element."""
     return {
@@ -175,6 +191,20 @@ select l.order_id as order_key, l.row_id as l_id, b.row_id as b_id,
   abs(b.amount - l.net) as score, abs(b.amount - l.net) as diff, {_HOURS} as hours
 from lrest2 l join brest2 b on l.order_id = b.order_id""",
     **_greedy("near_pairs", "near_edges"),
+    "blank_edges": f"""
+select * from (
+  select l.row_id as l_id, b.row_id as b_id, abs(b.amount - l.net) as diff, {_HOURS} as hours,
+    abs(b.amount - l.net) / greatest(l.amount, 1.0::double) + {_HOURS} / 96.0::double as score, l.amount as l_amount
+  from lrest l join brest b
+    on b.created_at >= l.created_at - to_hours(96) and b.created_at <= l.created_at + to_hours(96))
+where diff <= greatest(30.0::double, 0.08::double * l_amount) and hours <= 96""",
+    **_mutual("blank_pairs", "blank_edges"),
+    "blank_near_edges": f"""
+select l.row_id as l_id, b.row_id as b_id, abs(b.amount - l.net) as score, abs(b.amount - l.net) as diff,
+  {_HOURS} as hours
+from (select * from lrest where row_id not in (select l_id from blank_pairs)) l
+  cross join (select * from brest where row_id not in (select b_id from blank_pairs)) b""",
+    **_mutual("blank_near", "blank_near_edges"),
     "items": """
 select l.row_id, 'ledger' as side, l.order_id, p.b_id as candidate_id, p.diff, p.hours
 from lrest2 l left join near_pairs p on l.row_id = p.l_id
@@ -465,7 +495,7 @@ from csvb where not no_ts""",
     "json_file_rows": f"""
 select row_id, order_id, amount, utr_reference from bank where {_KEY} % 50 <> 0""",
     "json_file_rejects": f"""
-select left('{{"row_id":"' || row_id || '"', 19) as raw from bank where {_KEY} % 50 = 0""",
+select left('{{"row_id":"' || row_id || '","txn_id_hint":"', 30) as raw from bank where {_KEY} % 50 = 0""",
     "csv_rejects": _REJECTS,
     "gateway_normalize": """
 select source_id, order_id, amount, currency, method, fee, tax_on_fee, settled_at, created_at
@@ -491,10 +521,12 @@ select txn_id, case when kind < 5 then txn_id end as answered_id,
     "transactions_in_time_order": """
 select txn_id, created_at, txn_amount from base order by created_at, txn_id""",
     "point_lookup": """
-select txn_id, order_id, txn_amount, status from base where order_id = 'order_7' limit 1""",
+select txn_id, order_id, txn_amount, status from base where order_id = 'order_7' order by txn_id limit 1""",
     "exact_matches": f"select {_MATCH} from exact",
     "exact_residue_ledger": f"select {_REST} from lrest",
     "exact_residue_bank": f"select {_REST} from brest",
+    "blank_key_fuzzy": "select l_id, b_id, diff, hours from blank_pairs",
+    "blank_key_pairs": "select l_id, b_id, diff, hours from blank_near",
     "fuzzy_candidates": "select order_key, score, l_id, b_id, diff, hours from edges",
     "fuzzy_matches": f"select {_MATCH} from fuzzy",
     "fuzzy_residue_ledger": f"select {_REST} from lrest2",
@@ -618,7 +650,7 @@ from (select {_STATS} from records) s,
 select txn_id, order_id, txn_amount, reconciliation_status, reconciliation_tier as tier,
   tax_category as category, case when had_refund then refund_amount end as refund_amount,
   case when had_dispute_flag then true end as dispute
-from records where order_id = 'order_7' limit 1""",
+from records where order_id = 'order_7' order by txn_id limit 1""",
     "search_payments": f"""
 select txn_id, order_id, txn_amount, payment_method, created_at, status, had_refund,
   refund_amount, had_dispute_flag, reconciliation_status
@@ -747,6 +779,15 @@ select count(days_to_settle) as n, round(avg(days_to_settle), 6) as mean,
   quantile_cont(days_to_settle::double, 0.25) as q25,
   quantile_cont(days_to_settle::double, 0.5) as q50,
   quantile_cont(days_to_settle::double, 0.75) as q75, max(days_to_settle) as high from base""",
+    "amount_describe": """
+select count(txn_amount) as n, round(avg(txn_amount), 4) as mean, round(stddev_samp(txn_amount), 4) as std,
+  min(txn_amount) as low, round(quantile_cont(txn_amount, 0.25), 6) as q25,
+  round(quantile_cont(txn_amount, 0.5), 6) as q50, round(quantile_cont(txn_amount, 0.75), 6) as q75,
+  max(txn_amount) as high from base""",
+    "amount_quartiles_by_method": """
+select payment_method, min(txn_amount) as low, round(quantile_cont(txn_amount, 0.25), 6) as q25,
+  round(quantile_cont(txn_amount, 0.5), 6) as q50, round(quantile_cont(txn_amount, 0.75), 6) as q75,
+  max(txn_amount) as high from base group by 1""",
     "status_counts": "select status, count(*) as rows from base group by 1",
     "days_histogram": "select days_to_settle, count(*) as rows from base group by 1",
     "days_quartiles_by_method": """

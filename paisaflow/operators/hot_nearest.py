@@ -3,23 +3,30 @@
 On the amount axis a key is a sequence of runs, each of rows of one side. Where two runs meet,
 the sequential choice pairs outward from the border: first row with first row, second with
 second, and so on. So a row has only two possible partners now, one across each border of its
-run, found by its index. A pair is certain when it is cheaper than anything that could take
-one of its rows from the other border first; certain pairs of all borders leave together, the
-runs that remain grow together, and the next round starts. Rows are never compared with more
-than these two partners, and the number of rounds grows with the logarithm of the rows.
+run, found by its index.
 
-Equal amounts keep the order of ids from either border. Exact ties between the two borders of
-a run are settled first row by first row.
+* A key of at most ``folding.FOLD_ROWS`` rows is folded by one task.
+* In a larger key, pairs cheaper than anything that could take one of their rows from the other border
+  first leave together, and so do first rows nearest to each other.
+* Where runs are single rows, first pairs form a path, each excluding its neighbours. Along a path whose costs
+  grow from such a nearest pair on, every second pair is taken, as long as it costs less than the rows
+  left outside would: places along paths are running counts, so a path of any length is settled in one round.
+* After that the axis is cut where neighbouring amounts are farther apart than a radius, the largest that leaves
+  segments of at most ``FOLD_ROWS`` rows; pairs up to the radius cannot leave their segment, and each
+  segment is folded by one task. Then runs that remain grow together, and the next round starts.
+
+Equal amounts keep the order of ids from either border.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paisaflow.functions.times import hours_between
-from paisaflow.operators import pairing
+from paisaflow.operators import folding, pairing
 from paisaflow.operators.numbering import running_counts
 from paisaflow.session import cut
 
@@ -123,17 +130,21 @@ def _border_pairs(rows: DataFrame) -> DataFrame:
         "order_key", "nth", "side", c("id").alias("x"), c("v").alias("x_v"), "left_bound",
         (c("v") - c("left_nearest")).alias("left_gap"),
         (c("block_first") == c("run_start")).alias("x_at_border"),
+        (c("run_end") - c("run_start") == 1).alias("x_single"), (c("place") + c("across")).alias("rank"),
+        c("left_nearest").alias("left_rest"),
         c("other").alias("y_side"), (c("across") + c("nth") - 1).alias("y_place"),
     )
     right = rows.select(
         "order_key", c("side").alias("y_side"), c("place").alias("y_place"), c("id").alias("y"),
         c("v").alias("y_v"), "right_bound", (c("right_nearest") - c("v")).alias("right_gap"),
         (c("block_last") + 1 == c("run_end")).alias("y_at_border"),
+        (c("run_end") - c("run_start") == 1).alias("y_single"), c("right_nearest").alias("right_rest"),
     )
     is_ledger = c("side") == "l"
     return left.join(right, ["order_key", "y_side", "y_place"]).select(
         "order_key", "nth", (c("y_v") - c("x_v")).alias("cost"), "left_bound", "right_bound",
-        "left_gap", "right_gap", "x_at_border", "y_at_border",
+        "left_gap", "right_gap", "x_at_border", "y_at_border", "x_single", "y_single", "rank",
+        c("x_v"), c("y_v"), "left_rest", "right_rest",
         F.when(is_ledger, c("x")).otherwise(c("y")).alias("l_id"),
         F.when(is_ledger, c("y")).otherwise(c("x")).alias("b_id"),
     )
@@ -159,7 +170,133 @@ def _settled(pairs: DataFrame) -> DataFrame:
         .join(l_best, "l_id").join(b_best, "b_id")
         .filter((c("l_best.b_id") == c("b_id")) & (c("b_best.l_id") == c("l_id")))
     )
-    return sure.unionByName(mutual.select("order_key", "l_id", "b_id")).distinct()
+    found = mutual.select("order_key", "l_id", "b_id")
+    return sure.unionByName(found).unionByName(_along_paths(firsts, found)).distinct()
+
+
+# ---- paths of first pairs -------------------------------------------------------------------------
+
+def _along_paths(firsts: DataFrame, mutual: DataFrame) -> DataFrame:
+    """Further first pairs that follow from the nearest ones, every second along paths of growing cost.
+
+    A first pair excludes the one after it if they share a single-row run. From a nearest pair on, places
+    0, 2, 4, ... of the growing path are taken while the cost stays below the distance to the nearest
+    row outside the path's beginning; where two paths meet, the last pair is taken if both leave it free.
+    A path's last row may begin a longer run: there nothing beyond that run may be cheaper.
+    """
+    c = F.col
+    order = F.struct("cost", "l_id", "b_id")
+    edges = cut(firsts.select(
+        "order_key", "rank", "cost", "l_id", "b_id", "x_single", "y_single", "x_v", "y_v", "left_rest", "right_rest",
+        "left_bound", "right_bound", order.alias("order"),
+    ))
+    before = edges.filter("y_single").select("order_key", (c("rank") + 1).alias("rank"), c("order").alias("order_before"))
+    after = edges.filter("x_single").select("order_key", (c("rank") - 1).alias("rank"), c("order").alias("order_after"))
+    # x_single says that the pair before, if there is one, ends in this pair's x
+    linked = edges.join(before, ["order_key", "rank"], "left").join(after, ["order_key", "rank"], "left").withColumns({
+        "grows_right": F.coalesce(c("x_single") & (c("order_before") < c("order")), F.lit(False)),
+        "grows_left": F.coalesce(c("y_single") & (c("order_after") < c("order")), F.lit(False)),
+    })
+    placed = running_counts(linked, ["order_key"], ["rank"], {
+        "begun": ~c("grows_right"), "ended": ~c("grows_left"),
+    }).withColumns({
+        # paths to the right are numbered by their first pair, paths to the left by their last
+        "right_path": c("begun") + F.when(c("grows_right"), 0).otherwise(1), "left_path": c("ended"),
+    })
+    placed = cut(placed.drop("order_before", "order_after", "begun", "ended").join(
+        mutual.select("l_id", "b_id", F.lit(True).alias("nearest")), ["l_id", "b_id"], "left"
+    ))
+    starts = placed.filter(~c("grows_right")).select(
+        "order_key", "right_path", c("rank").alias("right_start"), c("left_rest").alias("right_limit"),
+        F.coalesce("nearest", F.lit(False)).alias("right_sure"),
+    )
+    ends = placed.filter(~c("grows_left")).select(
+        "order_key", "left_path", c("rank").alias("left_start"), c("right_rest").alias("left_limit"),
+        F.coalesce("nearest", F.lit(False)).alias("left_sure"),
+    )
+    far = F.lit(FAR)
+    known = placed.join(starts, ["order_key", "right_path"]).join(ends, ["order_key", "left_path"]).withColumns({
+        "from_left": c("rank") - c("right_start"), "from_right": c("left_start") - c("rank"),
+    }).withColumns({
+        "right_fails": (c("from_left") % 2 == 0) & (c("from_left") > 0)
+        & ((c("cost") >= F.coalesce(c("x_v") - c("right_limit"), far)) | (~c("y_single") & (c("cost") >= c("right_bound")))),
+        "left_fails": (c("from_right") % 2 == 0) & (c("from_right") > 0)
+        & ((c("cost") >= F.coalesce(c("left_limit") - c("y_v"), far)) | (~c("x_single") & (c("cost") >= c("left_bound")))),
+    })
+    known = cut(known)
+    right_stop = known.filter("right_fails").groupBy("order_key", "right_path").agg(F.min("from_left").alias("right_stop"))
+    left_stop = known.filter("left_fails").groupBy("order_key", "left_path").agg(F.min("from_right").alias("left_stop"))
+    free_right = c("right_sure") & (c("from_left") % 2 == 0) & (c("right_stop").isNull() | (c("from_left") < c("right_stop")))
+    free_left = c("left_sure") & (c("from_right") % 2 == 0) & (c("left_stop").isNull() | (c("from_right") < c("left_stop")))
+    return known.join(right_stop, ["order_key", "right_path"], "left").join(left_stop, ["order_key", "left_path"], "left").filter(
+        (c("grows_right") | c("grows_left")) & (~c("grows_right") | free_right) & (~c("grows_left") | free_left)
+    ).select("order_key", "l_id", "b_id")
+
+
+# ---- segments that one task can fold ----------------------------------------------------------------
+
+CELL_LEVELS = range(20, -1, -2)
+SPAN = "order_key string, l_id string, b_id string"
+
+
+def _fold(points: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs of whole segments: ``points`` has the columns ``by`` and ``radius``."""
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        pairs = list(folding.nearest_on_axis(part, float(part.radius.iloc[0])))
+        out = pd.DataFrame(pairs, columns=["l_id", "b_id"], dtype=object)
+        out.insert(0, "order_key", part.order_key.iloc[0])
+        return out
+
+    return points.groupBy(*by).applyInPandas(fold, SPAN)
+
+
+def _segments(points: DataFrame) -> DataFrame | None:
+    """Points of keys that can be cut, with ``segment`` and the ``radius`` up to which it is closed.
+
+    Amounts fall into 2**20 cells per key, each level four times as wide; a gap of a whole empty cell is
+    farther than a cell's width. Only counts per cell are looked at.
+    """
+    c = F.col
+    ranges = points.groupBy("order_key").agg(F.min("v").alias("low"), ((F.max("v") - F.min("v")) / 2 ** 20).alias("step"))
+    celled = cut(points.join(ranges.filter("step > 0"), "order_key").withColumn(
+        "cell", F.floor((c("v") - c("low")) / c("step")).cast("bigint")
+    ))
+    counts = cut(celled.groupBy("order_key", "cell", "step").count())
+    order = Window.partitionBy("order_key").orderBy("wide")
+    chosen = None
+    for level in CELL_LEVELS:
+        wide = counts.groupBy("order_key", "step", F.shiftright("cell", level).alias("wide")).agg(F.sum("count").alias("n"))
+        cuts = wide.withColumn("new", F.coalesce(c("wide") - F.lag("wide").over(order) > 1, F.lit(True)).cast("int"))
+        numbered = cuts.withColumn("segment", F.sum("new").over(order))
+        fits = numbered.groupBy("order_key", "segment").agg(F.sum("n").alias("n")).groupBy("order_key").agg(
+            F.max("n").alias("most")
+        ).filter(c("most") <= folding.FOLD_ROWS).select("order_key")
+        if chosen is not None:
+            fits = fits.join(chosen.select("order_key").distinct(), "order_key", "left_anti")
+        now = cut(numbered.join(fits, "order_key").select(
+            "order_key", "wide", "segment", F.lit(level).alias("level"),
+            # a little less than a cell, for the rounding of its borders
+            (c("step") * 2.0 ** level * 0.999).alias("radius"),
+        ))
+        chosen = now if chosen is None else chosen.unionByName(now)
+    chosen = cut(chosen)
+    if chosen.isEmpty():
+        return None
+    levels = chosen.select("order_key", "level").distinct()
+    return celled.join(levels, "order_key").withColumn("wide", F.expr("shiftright(cell, level)")).join(
+        chosen.drop("level"), ["order_key", "wide"]
+    ).select("order_key", "side", "id", "v", "segment", "radius")
+
+
+def _without(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Points in no pair, of keys that have both sides left."""
+    used = pairs.select(F.explode(F.array(
+        F.struct(F.lit("l").alias("side"), F.col("l_id").alias("id")),
+        F.struct(F.lit("b").alias("side"), F.col("b_id").alias("id")),
+    )).alias("u")).select("u.*")
+    left = cut(points.join(used, ["side", "id"], "left_anti"))
+    both = left.groupBy("order_key").agg(F.min("side").alias("a"), F.max("side").alias("z")).filter("a < z")
+    return left.join(both.select("order_key"), "order_key", "left_semi")
 
 
 def pair_nearest(ledger: DataFrame, bank: DataFrame) -> DataFrame:
@@ -167,23 +304,25 @@ def pair_nearest(ledger: DataFrame, bank: DataFrame) -> DataFrame:
     open_points = cut(_points(ledger, bank))
     rounds: list[DataFrame] = []
     while True:
+        sizes = cut(open_points.groupBy("order_key").count())
+        fits = F.col("count") <= folding.FOLD_ROWS
+        small = open_points.join(sizes.filter(fits).select("order_key"), "order_key")
+        rounds.append(cut(_fold(small.withColumn("radius", F.lit(FAR)), ["order_key"])))
+        open_points = cut(open_points.join(sizes.filter(~fits).select("order_key"), "order_key"))
+        if open_points.isEmpty():
+            break
         rows = cut(_with_bounds(_with_runs(open_points)))
         settled = cut(_settled(_border_pairs(rows)))
-        if settled.isEmpty():
-            break
         rounds.append(settled)
-        used = settled.select(
-            F.explode(F.array(
-                F.struct(F.lit("l").alias("side"), F.col("l_id").alias("id")),
-                F.struct(F.lit("b").alias("side"), F.col("b_id").alias("id")),
-            )).alias("u")
-        ).select("u.*")
         # a run without neighbours is all that is left of its key
-        still = rows.filter((F.col("left_rows") > 0) | (F.col("right_rows") > 0))
-        open_points = cut(
-            still.select("order_key", "side", "id", "v").join(used, ["side", "id"], "left_anti")
-        )
-    pairs = reduce(DataFrame.unionByName, rounds, settled)  # the last round is empty
+        still = rows.filter((F.col("left_rows") > 0) | (F.col("right_rows") > 0)).select("order_key", "side", "id", "v")
+        open_points = cut(_without(still, settled))
+        segments = _segments(open_points)
+        if segments is not None:
+            folded = cut(_fold(segments, ["order_key", "segment"]))
+            rounds.append(folded)
+            open_points = cut(_without(open_points, folded))
+    pairs = reduce(DataFrame.unionByName, rounds)
     l = pairing.ledger_points(ledger).drop("order_key")
     b = pairing.bank_points(bank).drop("order_key")
     return pairs.join(l, "l_id").join(b, "b_id").select(

@@ -8,8 +8,11 @@ Gives exactly the pairs of ``pairing.take_greedily``, without listing a group's
   radius are settled before a larger radius is looked at, so few classes are still near each
   other when it grows. Pairs are counted per cell before any is made, and the largest radius
   that keeps their number low is used.
-* Inside a radius, two classes that are each other's cheapest partner are paired and leave.
-  With the order (cost, ledger id, bank id) that is what the sequential choice would do.
+* Inside a radius, edges fall into connected parts that cannot touch each other. Parts of at most
+  ``folding.FOLD_ROWS`` edges and rows are folded by one task each, so ties, however long their chains,
+  cost no rounds. In larger parts, classes that are each other's cheapest partner are paired and leave; with
+  the order (cost, ledger id, bank id) that is what the sequential choice would do. What is left
+  falls into parts again.
 """
 
 from __future__ import annotations
@@ -19,16 +22,21 @@ from dataclasses import dataclass
 from functools import reduce
 from math import inf
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paisaflow.functions.money import band
 from paisaflow.functions.times import epoch_seconds
-from paisaflow.operators import pairing
+from paisaflow.operators import folding, pairing
+from paisaflow.operators.components import connected
 from paisaflow.operators.numbering import rank_in_groups
 from paisaflow.schemas import Tolerance
 from paisaflow.session import cut
 
 PAIRS_PER_CLASS = 32
+# Rounds in large parts before their rest is looked at for small parts again.
+ROUNDS_BETWEEN = 3
+SPAN = "l_class string, b_class string, l_start long, b_start long, k long"
 CELL = ["order_key", "scale", "amount_cell", "time_cell"]
 
 
@@ -133,7 +141,73 @@ def _edges(l_cells: DataFrame, b_cells: DataFrame, grid: Grid, radius: float) ->
     if radius != inf:
         pairs = pairs.filter(F.col("cost") <= radius)
     sides = [f"{s}_{c}" for s in "lb" for c in ("class", "head", "start", "left")]
-    return pairs.select(*sides, "cost")
+    return pairs.select("order_key", *sides, "cost")
+
+
+# ---- parts that one task can fold -------------------------------------------------------------
+
+def _weighed(edges: DataFrame, by: str) -> DataFrame:
+    """Per ``by`` whether its edges and the rows they may pair fit one task."""
+    rows = F.sum(1 + F.least("l_left", "b_left"))
+    return edges.groupBy(by).agg((rows <= folding.FOLD_ROWS).alias("fits"))
+
+
+def _in_parts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of small parts, with ``part``, and the edges of large ones.
+
+    A key that fits is one part. Only larger keys are taken apart along their edges.
+    """
+    keys = cut(_weighed(edges, "order_key"))
+    by_key = edges.join(keys.filter("fits").select("order_key"), "order_key").withColumn("part", F.col("order_key"))
+    large = edges.join(keys.filter("not fits").select("order_key"), "order_key")
+    if keys.filter("not fits").isEmpty():
+        return by_key, large
+    nodes = connected(large.select(
+        F.concat(F.lit("l"), "l_class").alias("a"), F.concat(F.lit("b"), "b_class").alias("b")
+    ))
+    placed = cut(large.join(nodes.select(
+        F.expr("substring(node, 2)").alias("l_class"), "part", F.left("node", F.lit(1)).alias("side")
+    ).filter("side = 'l'").drop("side"), "l_class"))
+    parts = cut(_weighed(placed, "part"))
+    small = placed.join(parts.filter("fits").select("part"), "part")
+    rest = placed.join(parts.filter("not fits").select("part"), "part").drop("part")
+    return by_key.unionByName(small), rest
+
+
+def _folded(edges: DataFrame, l_rows: DataFrame, b_rows: DataFrame) -> DataFrame:
+    """Pairs of whole parts, as spans of one row each."""
+    text = F.lit(None).cast("string")
+
+    def members(rows: DataFrame, side: str) -> DataFrame:
+        start, key = f"{side}_start", f"{side}_class"
+        open_ids = edges.select("part", key, start, f"{side}_left", F.least("l_left", "b_left").alias("most")).groupBy(
+            "part", key, start
+        ).agg(F.sum("most").alias("most"))
+        # no more rows of a class than all its edges could pair
+        return rows.join(open_ids, key).filter((F.col("rank") >= F.col(start)) & (F.col("rank") < F.col(start) + F.col("most"))).select(
+            "part", F.lit(side).alias("kind"), F.col(key).alias("l_class"), text.alias("b_class"),
+            F.lit(0.0).alias("cost"), "rank", F.col(f"{side}_id").alias("id"),
+        )
+
+    links = edges.select(
+        "part", F.lit("e").alias("kind"), "l_class", "b_class", "cost", F.lit(0).cast("bigint").alias("rank"),
+        text.alias("id"),
+    )
+    table = links.unionByName(members(l_rows, "l")).unionByName(members(b_rows, "b"))
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        ids, first = {}, {}
+        for side in "lb":
+            own = part[part.kind == side].sort_values("rank", kind="stable")
+            ids[side] = {k: list(g) for k, g in own.groupby("l_class", sort=False)["id"]}
+            first[side] = own.groupby("l_class", sort=False)["rank"].min().to_dict()
+        taken = list(folding.cheapest_edges(part[part.kind == "e"], ids["l"], ids["b"]))
+        return pd.DataFrame(
+            [(l, b, first["l"][l] + i, first["b"][b] + j, 1) for l, b, i, j in taken],
+            columns=["l_class", "b_class", "l_start", "b_start", "k"],
+        )
+
+    return table.groupBy("part").applyInPandas(fold, SPAN)
 
 
 def _cheapest(edges: DataFrame, side: str, other: str) -> DataFrame:
@@ -209,16 +283,20 @@ def _pair(ledger: DataFrame, bank: DataFrame, grid: Grid) -> DataFrame:
             continue
         edges = cut(_edges(l_cells, b_cells, grid, radius))
         while not edges.isEmpty():
-            settled = cut(_settle(edges))
-            rounds.append(settled)
-            edges = _advance(edges, settled, l_rows, "l")
-            edges = cut(_advance(edges, settled, b_rows, "b"))
+            small, edges = _in_parts(edges)
+            rounds.append(cut(_folded(cut(small), l_rows, b_rows)))
+            edges = cut(edges)
+            for _ in range(ROUNDS_BETWEEN):
+                if edges.isEmpty():
+                    break
+                settled = cut(_settle(edges))
+                rounds.append(settled.select("l_class", "b_class", "l_start", "b_start", "k"))
+                edges = _advance(edges, settled, l_rows, "l")
+                edges = cut(_advance(edges, settled, b_rows, "b"))
     if not rounds:
         nothing = ledger.join(bank, "order_key").filter(F.lit(False))
         return nothing.select(*_row())
-    spans = reduce(DataFrame.unionByName, rounds).select(
-        "l_class", "b_class", "l_start", "b_start", "k"
-    )
+    spans = reduce(DataFrame.unionByName, rounds)
     in_span = (F.col("rank") >= F.col("l_start")) & (F.col("rank") < F.col("l_start") + F.col("k"))
     left = l_rows.join(spans, "l_class").filter(in_span).withColumn(
         "b_rank", F.col("b_start") + F.col("rank") - F.col("l_start")

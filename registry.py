@@ -96,6 +96,15 @@ class Workspace:
             split.matches, *side_by_side(cut, split.ledger_rest, split.bank_rest)
         )
 
+    @cached_property
+    def blank_split(self) -> exact.MatchSplit:
+        """What the exact tier left, as exports without any order id: one key holds all rows."""
+        blank = lambda rows: rows.withColumn("order_id", F.lit(None).cast("string"))
+        split = fuzzy.fuzzy_match(blank(self.tier1.ledger_rest), blank(self.tier1.bank_rest), keep=cut)
+        return exact.MatchSplit(
+            split.matches, *side_by_side(cut, split.ledger_rest, split.bank_rest)
+        )
+
     @cached_property
     def items(self) -> DataFrame:
         return cut(adjudicate.open_items(
@@ -122,11 +131,13 @@ class Workspace:
 
     @cached_property
     def exceptions(self) -> DataFrame:
-        return cut(self.tier3.exceptions)
+        return self.tier3.exceptions
 
     @cached_property
     def tier3(self) -> adjudicate.Adjudication:
-        return adjudicate.resolve(self.items, self.resolutions)
+        return adjudicate.Adjudication(
+            *side_by_side(cut, *adjudicate.resolve(self.items, self.resolutions))
+        )
 
     @cached_property
     def truth(self) -> DataFrame:
@@ -455,6 +466,25 @@ def _describe(w: Workspace) -> DataFrame:
     return d.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
+def _amounts_described(w: Workspace) -> DataFrame:
+    d = stats.describe(w.base, "txn_amount")
+    return d.select("n", "low", "high", *[F.round(x, 6).alias(x) for x in ("q25", "q50", "q75")], *[
+        F.round(x, 4).alias(x) for x in ("mean", "std")
+    ])
+
+
+def _amount_quartiles(w: Workspace) -> DataFrame:
+    d = stats.quartiles_by(w.base, "txn_amount", "payment_method")
+    return d.withColumns({x: F.round(x, 6) for x in ("q25", "q50", "q75")})
+
+
+def _blank_fuzzy(w: Workspace) -> DataFrame:
+    return w.blank_split.matches.select(
+        F.col("ledger_row_id").alias("l_id"), F.col("bank_row_id").alias("b_id"),
+        F.col("amount_diff").alias("diff"), F.col("timestamp_diff_hours").alias("hours"),
+    )
+
+
 def _deduction_features(w: Workspace) -> DataFrame:
     return forecast.to_features(w.base).select(
         "txn_id", "is_weekend_or_holiday", "had_dispute_flag", "had_refund", "gst_on_fee_flag",
@@ -706,7 +736,7 @@ QUERIES: dict[str, Query] = {
     ).rows.select("row_id", "order_id", "amount", "utr_reference"),
     "json_file_rejects": lambda w: tables.read_json_rows(
         w.spark, w.json_file(), "bank_rows", array_file=False
-    ).rejects.select(F.substring("raw", 1, 19).alias("raw")),
+    ).rejects.select("raw"),
     "csv_ledger_parse": lambda w: _parsed(
         csv_rows.parse_ledger(w.csv_ledger).rows, "method", "fee", "tax_on_fee", "refund_amount"
     ),
@@ -722,7 +752,7 @@ QUERIES: dict[str, Query] = {
     "transactions_in_time_order": lambda w: w.base.orderBy("created_at", "txn_id").select(
         "txn_id", "created_at", "txn_amount"
     ),
-    "point_lookup": lambda w: w.base.filter(F.col("order_id") == "order_7").limit(1).select(
+    "point_lookup": lambda w: w.base.filter(F.col("order_id") == "order_7").orderBy("txn_id").limit(1).select(
         "txn_id", "order_id", "txn_amount", "status"
     ),
     # reconciliation
@@ -732,6 +762,10 @@ QUERIES: dict[str, Query] = {
     "fuzzy_candidates": lambda w: fuzzy.fuzzy_candidates(
         w.tier1.ledger_rest, w.tier1.bank_rest
     ),
+    "blank_key_fuzzy": _blank_fuzzy,
+    "blank_key_pairs": lambda w: nearest.nearest_pairs(
+        w.blank_split.ledger_rest, w.blank_split.bank_rest
+    ).select("l_id", "b_id", "diff", "hours"),
     "fuzzy_matches": lambda w: _match_rows(w.tier2.matches),
     "fuzzy_residue_ledger": lambda w: _rest(w.tier2.ledger_rest),
     "fuzzy_residue_bank": lambda w: _rest(w.tier2.bank_rest),
@@ -854,6 +888,8 @@ QUERIES: dict[str, Query] = {
         w.base, "is_weekend_or_holiday", "had_dispute_flag", "had_refund", "gst_on_fee_flag"
     ),
     "target_describe": _describe,
+    "amount_describe": _amounts_described,
+    "amount_quartiles_by_method": _amount_quartiles,
     "status_counts": lambda w: stats.count_by(w.base, "status"),
     "days_histogram": lambda w: stats.integer_histogram(w.base, "days_to_settle"),
     "days_quartiles_by_method": lambda w: stats.quartiles_by(

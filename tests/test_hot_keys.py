@@ -3,7 +3,9 @@
 import datetime as dt
 import random
 
-from paisaflow.operators import hot_nearest, hot_pairing, keys
+import pytest
+
+from paisaflow.operators import components, folding, hot_nearest, hot_pairing, keys
 from paisaflow.operators.fuzzy import fuzzy_match
 from paisaflow.operators.keys import find_hot_keys, with_order_key
 from paisaflow.operators.nearest import nearest_pairs
@@ -61,13 +63,21 @@ def pairs_of(found):
     return set(got)
 
 
-def test_band_pairs_equal_sequential_choice(spark):
+@pytest.fixture(params=["folded", "in rounds"])
+def fold_rows(request, monkeypatch):
+    """Keys folded as they are, and keys that no task may take whole."""
+    if request.param == "in rounds":
+        monkeypatch.setattr(folding, "FOLD_ROWS", 6)
+    return request.param
+
+
+def test_band_pairs_equal_sequential_choice(spark, fold_rows):
     ls, bs = many_keys(1, 120)
     found = hot_pairing.pair_in_bands(*keyed(spark, ls, bs), FUZZY_TOLERANCE)
     assert pairs_of(found) == greedy(ls, bs, fuzzy_cost)
 
 
-def test_nearest_pairs_equal_sequential_choice(spark):
+def test_nearest_pairs_equal_sequential_choice(spark, fold_rows):
     ls, bs = many_keys(2, 250)
     assert pairs_of(hot_nearest.pair_nearest(*keyed(spark, ls, bs))) == greedy(ls, bs, gap)
 
@@ -142,3 +152,65 @@ def test_hot_keys_are_found_by_default(spark, monkeypatch):
 def test_no_hot_keys(spark):
     l, b = txns(spark, ledger()), txns(spark, bank())
     assert find_hot_keys(l, b) is None
+
+
+def test_connected_parts(spark):
+    rng = random.Random(4)
+    chain = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(300)]
+    web = [(f"w{rng.randrange(60):02d}", f"w{rng.randrange(60):02d}") for _ in range(40)]
+    got = {r.node: r.part for r in components.connected(spark.createDataFrame(chain + web, "a string, b string")).collect()}
+    assert {got[f"n{i:04d}"] for i in range(301)} == {"n0000"}
+    for a, b in web:
+        assert got[a] == got[b] <= min(a, b)
+    assert components.connected(spark.createDataFrame([], "a string, b string")).isEmpty()
+
+
+def tied(n, step=1.0, growth=0.0):
+    """Ledger and bank amounts in turn, each as far from the last as the one before, or a little farther."""
+    v, ls, bs = 1000.0, [], []
+    for i in range(n):
+        ls.append(ledger(source_id=f"L{i:05d}", order_id="", amount=v, fee=0.0, raw_tax_on_fee=0.0))
+        bs.append(bank(source_id=f"B{i:05d}", order_id="", amount=v + step))
+        v += 2 * step
+        step += growth
+    return ls, bs
+
+
+@pytest.mark.parametrize("growth", [0.0, 1 / 64])
+@pytest.mark.parametrize("limit", [2, 200_000])
+def test_rounds_do_not_grow_with_tied_rows(spark, monkeypatch, growth, limit):
+    """24 and 240 tied rows a side, folded and taken in rounds by the rule for paths."""
+    monkeypatch.setattr(folding, "FOLD_ROWS", limit)
+    rounds = []
+    plain = hot_nearest._settled
+    monkeypatch.setattr(hot_nearest, "_settled", lambda pairs: rounds.append(1) or plain(pairs))
+    seen = []
+    for n in (24, 240):
+        rounds.clear()
+        ls, bs = tied(n, growth=growth)
+        assert pairs_of(hot_nearest.pair_nearest(*keyed(spark, ls, bs))) == greedy(ls, bs, gap)
+        seen.append(len(rounds))
+    assert seen[0] == seen[1] <= 2
+
+
+def test_rounds_in_bands_do_not_grow_with_tied_rows(spark, monkeypatch):
+    rounds = []
+    plain = hot_pairing._folded
+    monkeypatch.setattr(hot_pairing, "_folded", lambda *a: rounds.append(1) or plain(*a))
+    for n in (24, 240):
+        rounds.clear()
+        ls, bs = tied(n)
+        found = hot_pairing.pair_in_bands(*keyed(spark, ls, bs), FUZZY_TOLERANCE)
+        assert pairs_of(found) == greedy(ls, bs, fuzzy_cost)
+        assert len(rounds) <= 11  # radii
+
+
+def test_segments_of_the_axis(spark, monkeypatch):
+    """A key too large for one task, in clusters that each fit: folded by segments."""
+    monkeypatch.setattr(folding, "FOLD_ROWS", 40)
+    rng = random.Random(12)
+    start = [100.0, 5_000.0, 90_000.0, 90_500.0]
+    amount = lambda: rng.choice(start) + rng.randrange(30) / 4
+    ls = [ledger(source_id=f"L{i:03d}", order_id="", amount=amount(), fee=0.0, raw_tax_on_fee=0.0) for i in range(70)]
+    bs = [bank(source_id=f"B{i:03d}", order_id="", amount=amount()) for i in range(60)]
+    assert pairs_of(hot_nearest.pair_nearest(*keyed(spark, ls, bs))) == greedy(ls, bs, gap)

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as spark_entry
 import check
+import oracles
 import registry
 
-ORACLES = spark_entry.oracle_sql()
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,8 @@ def test_equals_oracle(spark, sf_dir, duck, name):
 
 
 def test_registry_is_complete():
-    assert set(ORACLES) <= set(registry.QUERIES)
+    assert set(ORACLES) <= set(registry.QUERIES) <= set(spark_entry.queries())
+    assert set(ORACLES) <= set(spark_entry.oracle_sql())
 
 
 def test_entry(spark):
