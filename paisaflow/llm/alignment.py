@@ -123,7 +123,9 @@ def side(ids: list[np.ndarray], size: np.ndarray) -> Side:
 
 def links(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
     """Places of the A and the B token of every overlapping pair, in text order."""
-    ends = np.union1d(a.end, b.end)
+    # two sorted runs: a stable sort merges them
+    ends = np.sort(np.concatenate([a.end, b.end]), kind="stable")
+    ends = ends[np.append(np.diff(ends) > 0, True)] if len(ends) else ends
     return np.searchsorted(a.end, ends), np.searchsorted(b.end, ends)
 
 
@@ -147,22 +149,28 @@ def terminals(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
     return pointer[:n] - n, pointer[n:] - n
 
 
+@lru_cache(maxsize=1)
+def _decimals() -> tuple[np.ndarray, np.ndarray]:
+    """Letters and lengths of the numbers that fit 16 bits."""
+    n = np.arange(1 << 16)
+    digits = np.ones(len(n), np.int64)
+    for k in range(1, 5):
+        digits += n >= 10 ** k
+    power = 10 ** np.maximum(digits[:, None] - 1 - np.arange(5), 0)
+    return (48 + n[:, None] // power % 10).astype(np.uint8), digits
+
+
 def _text_of(ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Decimal ids, each followed by a byte, as one array; and where each begins."""
-    digits = np.ones(len(ids), np.int64)
-    for k in range(1, 10):
-        digits += ids >= 10 ** k
-    begin = np.concatenate([[0], np.cumsum(digits + 1)])
+    letters, digits = _decimals()
+    begin = np.concatenate([[0], np.cumsum(digits[ids] + 1)])
     out = np.empty(begin[-1], np.uint8)
     out[begin[1:] - 1] = after
-    rest = ids.copy()
-    at = begin[1:] - 2
-    left = np.arange(len(ids))
-    while len(left):
-        out[at[left]] = 48 + rest[left] % 10
-        rest[left] //= 10
-        at[left] -= 1
-        left = left[at[left] >= begin[left]]
+    at, rest = begin[:-1], ids
+    for k in range(letters.shape[1]):
+        longer = digits[rest] > k
+        at, rest = at[longer], rest[longer]
+        out[at + k] = letters[rest, k]
     return out, begin
 
 
@@ -248,9 +256,10 @@ _PAIRS = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
 def _pair_counts(batch: pa.RecordBatch, folder: str):
     for _, _, row, pair in _linked(batch, folder):
-        once = np.unique((row << 32) | pair) & 0xFFFFFFFF
-        pairs, n = np.unique(once, return_counts=True)
-        yield {"pair": pairs, "n": n}
+        once = np.sort((row << 32) | pair)
+        once = np.sort(once[np.append(np.diff(once) > 0, True)] & 0xFFFFFFFF) if len(once) else once
+        begin = np.flatnonzero(np.diff(once, prepend=-1))
+        yield {"pair": once[begin], "n": np.diff(np.append(begin, len(once)))}
 
 
 _SUMS = pa.schema([
