@@ -10,20 +10,27 @@ member gets two numbers
     D = |X'| - theta |X|          R = 2 (|X'| - alone) - |X'| + theta |X|
 
 and a pair can link only if ``D_A <= R_B`` and ``D_B <= R_A``. X links with H exactly if ``D <= theta |H|``; two
-members that both do are in one component and need no comparison. What is left, in most buckets
-nothing, goes through the next round with another hub; pairs are made once they are few, or after
-``rounds``, again only those that pass the bounds. Nothing that may link is left out.
+members that both do are in one component and need no comparison.
+
+What may still link has ``(D_A + D_B) / 2`` difference tokens in common at least. So differences are indexed by
+a prefix again: rarest first, ``(R - D) / 2 + 1`` tokens with the least D a partner has, few where the margin
+is small. Sets that meet under such a token, in different components and within the bounds, are compared in pairs.
+Where these buckets are large again, which takes a group within the group, they first have a round
+with hubs of their own, up to ``rounds``. Nothing that may link is left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paisaflow.llm.components import components
 from paisaflow.session import cut, forget
 
 SALTS = 16
-ROUNDS = 8
+ROUNDS = 4
+PAIRS_PER_ROW = 64
 c = F.col
 
 
@@ -67,8 +74,28 @@ def linked(percent: int) -> Column:
     return (100 * c("common") >= percent * (c("n_a") + c("n_b") - c("common"))) & (c("common") > 0)
 
 
-def _possible(percent: int, d: str, r: str) -> Column:
-    return (c(f"{d}_d") <= c(f"{r}_r")) & (c(f"{r}_d") <= c(f"{d}_r"))
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Keys of the next round: a prefix of each member's difference to its hub, rarest tokens of the bucket first.
+
+    Tokens that only the hub has are missing in all others and listed nowhere. A bucket in which they
+    alone may be enough of a common difference goes on as a whole, without this hub.
+    """
+    tokens = sets.select("cid", "tokens")
+    whole = members.filter("as_whole").select(F.xxhash64("hub").alias("key"), "cid", "n", "alone", "d", "r", "apart", "comp")
+    apart = members.filter("not as_whole").join(tokens, "cid").join(
+        tokens.select(c("cid").alias("hub"), c("tokens").alias("hub_tokens")), "hub"
+    ).select("hub", "cid", "n", "alone", "d", "r", "apart", "comp", "prefix", F.explode(F.concat(
+        F.array_except("tokens", "hub_tokens"), F.array_except("hub_tokens", "tokens")
+    )).alias("token"))
+    apart = cut(apart)
+    shared = apart.groupBy("hub", "token").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("hub", "cid").orderBy("df", "token")
+    keyed = apart.join(shared, ["hub", "token"]).withColumn("place", F.row_number().over(order)).filter(
+        (c("place") <= c("prefix")) & (c("df") > 1)
+    ).select(F.xxhash64("hub", "token").alias("key"), "cid", "n", "alone", "d", "r", "apart", "comp")
+    found = cut(whole.unionByName(keyed))
+    forget(apart)
+    return found
 
 
 def resolve(members: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame | None:
@@ -78,58 +105,62 @@ def resolve(members: DataFrame, sets: DataFrame, percent: int, rounds: int = ROU
     those that another candidate has).
     """
     near, far = 100 - percent, 100 + percent
-    members, links, labels = cut(members), None, None
+    members, found, labels = cut(distinct_buckets(members)), [], None
     for round_number in range(rounds):
+        if members.isEmpty():
+            break
         hubs = members.groupBy("key").agg(F.min(F.struct("alone", "cid", "n")).alias("hub")).select(
-            "key", c("hub.cid").alias("hub"), c("hub.n").alias("n_hub")
+            "key", c("hub.cid").alias("hub"), c("hub.n").alias("n_hub"), c("hub.alone").alias("alone_hub")
         )
-        rows = cut(_salted(members, "cid").join(_copied(hubs), ["key", "salt"]).filter("cid <> hub").drop("salt"))
-        forget(members)
-        seen = cut(compared(rows.select(c("cid").alias("a"), c("hub").alias("b")).distinct(), sets))
-        found = seen.filter(linked(percent)).select("a", "b")
-        links = found if links is None else links.unionByName(found)
+        # buckets with one hub are one bucket
+        rows = cut(_salted(members, "cid").join(_copied(hubs), ["key", "salt"]).filter("cid <> hub").select(
+            "hub", "n_hub", "alone_hub", "cid", "n", "alone"
+        ).distinct())
+        seen = cut(compared(rows.select(c("cid").alias("a"), c("hub").alias("b")), sets))
+        found.append(cut(seen.filter(linked(percent)).select("a", "b")))
         differ = c("n") + c("n_hub") - 2 * c("common")
-        placed = rows.join(seen.select(c("a").alias("cid"), c("b").alias("hub"), "common"), ["cid", "hub"]).select(
-            "key", "cid", "n", "alone", (far * differ - near * c("n")).alias("d"),
+        placed = cut(rows.join(seen.select(c("a").alias("cid"), c("b").alias("hub"), "common"), ["cid", "hub"]).select(
+            "hub", "alone_hub", "cid", "n", "alone", (far * differ - near * c("n")).alias("d"),
             (far * (differ - 2 * c("alone")) + near * c("n")).alias("r"),
             (far * differ > near * (c("n") + c("n_hub"))).alias("apart"),
-        )
-        placed = cut(placed)
-        limits = placed.groupBy("key").agg(
-            F.min(F.when(c("apart"), c("d"))).alias("least_d"), F.max("r").alias("most_r"),
-            F.max(F.when(c("apart"), c("r"))).alias("most_r_apart"),
-        ).filter("least_d is not null")
-        open_rows = cut(_salted(placed, "cid").join(_copied(limits), ["key", "salt"]).filter(
-            (c("apart") & (c("d") <= c("most_r")))
-            | (~c("apart") & (c("r") >= c("least_d")) & (c("d") <= c("most_r_apart")))
-        ).select("key", "cid", "n", "alone", "d", "r", "apart"))
-        forget(rows, placed)
-        if open_rows.isEmpty():
+        ))
+        forget(members, rows, seen)
+        limits = placed.groupBy("hub").agg(
+            F.min(F.when(c("apart"), c("d"))).alias("least_apart"), F.max("r").alias("most_r"),
+            F.max(F.when(c("apart"), c("r"))).alias("most_r_apart"), F.min("d").alias("least_d"),
+        ).filter("least_apart is not null")
+        # the least a partner's d may be
+        partner = F.when(c("apart"), c("least_d")).otherwise(c("least_apart"))
+        possible = cut(_salted(placed, "cid").join(_copied(limits), ["hub", "salt"]).filter(
+            (c("d") <= F.when(c("apart"), c("most_r")).otherwise(c("most_r_apart"))) & (c("r") >= partner)
+        ).select(
+            "hub", "cid", "n", "alone", "d", "r", "apart", (F.floor((c("r") - partner) / (2 * far)) + 1).alias("prefix"),
+            (c("least_apart") + c("least_d") <= 2 * far * c("alone_hub")).alias("as_whole"),
+        ))
+        forget(placed)
+        if possible.isEmpty():
             break
-        labels = components(links)
-        known = _with_component(open_rows, labels)
-        mixed = known.groupBy("key").agg(
-            F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.max("apart").alias("some_apart"),
-        ).filter("size > 1 and lo < hi and some_apart")
-        members = cut(known.join(mixed.select("key"), "key", "left_semi"))
-        forget(open_rows)
-        size = members.groupBy("key").count().agg(
+        labels = components(reduce(DataFrame.unionByName, found))
+        known = _with_component(possible, labels)
+        mixed = known.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+        keyed = _differences(known.join(mixed.select("hub"), "hub", "left_semi"), sets)
+        forget(possible)
+        size = keyed.groupBy("key").count().agg(
             F.sum("count").alias("rows"), F.sum(c("count") * (c("count") - 1) / 2).alias("pairs")
         ).first()
-        if not size["rows"]:
-            break
-        if size["pairs"] <= 4 * size["rows"] or round_number == rounds - 1:
-            one = members.select("key", *[c(x).alias(f"x_{x}") for x in ("cid", "d", "r", "apart", "comp")])
-            two = members.select("key", *[c(x).alias(f"y_{x}") for x in ("cid", "d", "r", "apart", "comp")])
-            pairs = _salted(one, "x_cid").join(_copied(two), ["key", "salt"]).filter(
-                (c("x_cid") < c("y_cid")) & (c("x_comp") != c("y_comp")) & (c("x_apart") | c("y_apart"))
-                & _possible(percent, "x", "y")
-            ).select(c("x_cid").alias("a"), c("y_cid").alias("b")).distinct()
-            links = links.unionByName(cut(compared(pairs, sets)).filter(linked(percent)).select("a", "b"))
-            labels = None
-            break
-        members = members.select("key", "cid", "n", "alone")
-    if links is None or links.isEmpty():
+        if size["rows"] and size["pairs"] > PAIRS_PER_ROW * size["rows"] and round_number < rounds - 1:
+            members = cut(distinct_buckets(keyed.select("key", "cid", "n", "alone")))
+            continue
+        facts = ("cid", "d", "r", "apart", "comp")
+        one = keyed.select("key", *[c(x).alias(f"x_{x}") for x in facts])
+        two = keyed.select("key", *[c(x).alias(f"y_{x}") for x in facts])
+        pairs = _salted(one, "x_cid").join(_copied(two), ["key", "salt"]).filter(
+            (c("x_cid") < c("y_cid")) & (c("x_comp") != c("y_comp")) & (c("x_apart") | c("y_apart"))
+            & (c("x_d") <= c("y_r")) & (c("y_d") <= c("x_r"))
+        ).select(c("x_cid").alias("a"), c("y_cid").alias("b")).distinct()
+        found.append(cut(compared(pairs, sets).filter(linked(percent)).select("a", "b")))
+        break
+    if not found:
         return None
-    return labels if labels is not None and members.isEmpty() else components(links)
+    links = reduce(DataFrame.unionByName, found)
+    return None if links.isEmpty() else components(links)

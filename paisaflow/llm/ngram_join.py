@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from paisaflow.llm.frames import by_batch, documents
-from paisaflow.llm.hubs import distinct_buckets, resolve
+from paisaflow.llm.hubs import resolve
 from paisaflow.llm.words import Chunk, chunks, mix, words
 from paisaflow.session import cut, forget
 
 RARE = 16
 PART_BYTES = 8 << 20
-MOST_BITS = 1 << 28
+MOST_BITS = 1 << 26
 HOT_SHARE = 1000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A"):ord("Z") + 1] += 32
@@ -160,8 +160,8 @@ def shared_counts(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _flags(shared: DataFrame) -> np.ndarray:
-    """Which cells of a bitmap of at most 32 MB the shared shingles fall into."""
-    bits = 1 << min(max(20, (16 * shared.count()).bit_length()), MOST_BITS.bit_length() - 1)
+    """Which cells of a bitmap of at most 8 MB the shared shingles fall into."""
+    bits = 1 << min(max(20, (2 * shared.count()).bit_length()), MOST_BITS.bit_length() - 1)
     cell = F.col("h").bitwiseAND(F.lit(bits - 1).cast("long"))
     flags = np.zeros(bits // 8, np.uint8)
     for block, bitmap in shared.select(cell.alias("cell")).groupBy(F.shiftright("cell", 15)).agg(
@@ -259,7 +259,7 @@ def class_components(texts: DataFrame, shingle: int, percent: int, rare: int = R
     found = cut(sets.mapInArrow(
         by_batch(lambda batch: _indexed(batch, percent, rare), _KEYS), "cid long, key long"
     ))
-    buckets = distinct_buckets(found).join(
+    buckets = found.join(
         sets.select("cid", "n", (F.col("n") - F.size("tokens")).alias("alone")), "cid"
     )
     return resolve(buckets, sets, percent)
