@@ -1,22 +1,20 @@
-"""Linear forecasts with Spark ML: settlement time, deductions and daily totals."""
+"""Linear forecasts: settlement time, deductions and daily totals.
+
+Each model takes two passes over its rows: one for the sums that all its fits are solved from (linear,
+degree 2, the fit on all rows, and the curvature of the residual), one for the errors on held-out rows.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paisaflow.operators import daily
+from paisaflow.plans.least_squares import Cells, LinearModel, fit, power, residual_correlation
 from paisaflow.schemas import FORECASTER_METRICS
 
 CURVATURE_LIMIT = 0.15
-# All levels of a category plus an intercept are one column too many for plain normal
-# equations. This much ridge picks the smallest solution and moves predictions by less than
-# anything reported.
-RIDGE = 1e-10
 
 
 @dataclass(frozen=True)
@@ -69,33 +67,8 @@ def to_features(base: DataFrame) -> DataFrame:
 
 
 def is_test_row() -> Column:
-    """A fixed fifth of the rows by transaction id, the same under any partitioning."""
-    return F.pmod(F.xxhash64("txn_id"), F.lit(5)) == 0
-
-
-def pipeline_of(features: FeatureSet) -> Pipeline:
-    """One-hot categories (an unseen one is all zeros), numbers as they are, least squares."""
-    stages, inputs = [], list(features.numeric)
-    if features.degree > 1:
-        powers = [f"pow(txn_amount, {d}) AS txn_amount_{d}" for d in range(2, features.degree + 1)]
-        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(powers)} FROM __THIS__"))
-        inputs += [f"txn_amount_{d}" for d in range(2, features.degree + 1)]
-    if features.categorical:
-        index = [f"{c}_index" for c in features.categorical]
-        hot = [f"{c}_hot" for c in features.categorical]
-        stages += [
-            StringIndexer(inputCols=list(features.categorical), outputCols=index,
-                          handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=index, outputCols=hot),
-        ]
-        inputs += hot
-    stages += [
-        # a row with an unknown input is predicted as unknown; training has dropped such rows
-        VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"),
-        LinearRegression(featuresCol="features", labelCol=features.target,
-                         predictionCol="prediction", solver="normal", regParam=RIDGE),
-    ]
-    return Pipeline(stages=stages)
+    """A fixed fifth of the rows by transaction id, the same under any partitioning and in any engine."""
+    return F.conv(F.left(F.md5("txn_id"), F.lit(8)), 16, 10).cast("bigint") % 5 == 0
 
 
 def errors(predicted: DataFrame, target: str, prediction: str = "prediction") -> DataFrame:
@@ -125,34 +98,39 @@ def curvature(predicted: DataFrame, target: str) -> DataFrame:
 
 @dataclass
 class Trained:
-    model: PipelineModel
+    model: LinearModel
     features: FeatureSet
     report: dict
 
 
-def train_from_split(train: DataFrame, test: DataFrame, features: FeatureSet) -> Trained:
+def _inputs(features: FeatureSet) -> tuple[str, ...]:
+    return features.numeric + tuple(power("txn_amount", d) for d in range(2, features.degree + 1))
+
+
+def train_from_split(rows: DataFrame, features: FeatureSet) -> Trained:
     """Linear first; degree 2 in the amount only if the residual is curved and it does better
-    on held-out rows. The chosen form is fitted again on all rows."""
-    def tried(form: FeatureSet):
-        model = pipeline_of(form).fit(train)
-        return model, errors(model.transform(test), form.target).first()
-
-    model, linear = tried(features)
-    shape = curvature(model.transform(train), features.target).first()
-    curved = shape["curved"]
-    chosen, best, poly = features, linear, None
-    if curved:
-        second = replace(features, degree=2)
-        _, poly = tried(second)
-        if poly["mae"] < linear["mae"]:
-            chosen, best = second, poly
-    final = pipeline_of(chosen).fit(train.unionByName(test))
-    return Trained(final, chosen, {
-        "label": features.label, "target": features.target, "n_train": shape["n"],
-        "n_test": best["n"], "mae": best["mae"], "mape_pct": best["mape_pct"],
+    on held-out rows (those with ``is_test``). The chosen form is fitted again on all rows."""
+    cells = Cells(rows, features.numeric, features.categorical, features.target, ["is_test"], "txn_amount")
+    train = cells.moments(~cells.table["is_test"].astype(bool))
+    linear = fit(train, _inputs(features))
+    related = residual_correlation(train, linear, power("txn_amount", 2))
+    curved = related is not None and abs(related) > CURVATURE_LIMIT
+    second = replace(features, degree=2)
+    forms = [(features, linear)] + ([(second, fit(train, _inputs(second)))] if curved else [])
+    tested = rows.filter("is_test")
+    measured = [
+        errors(tested.withColumn("prediction", model.prediction()), features.target).withColumn("form", F.lit(i))
+        for i, (_, model) in enumerate(forms)
+    ]
+    found = {r["form"]: r for one in measured for r in one.collect()}
+    best = 1 if curved and found[1]["mae"] < found[0]["mae"] else 0
+    chosen = forms[best][0]
+    return Trained(fit(cells.moments(), _inputs(chosen)), chosen, {
+        "label": features.label, "target": features.target, "n_train": train.n,
+        "n_test": found[best]["n"], "mae": found[best]["mae"], "mape_pct": found[best]["mape_pct"],
         "chosen_model": "linear" if chosen.degree == 1 else "polynomial(degree=2)",
-        "curvature_detected": bool(curved), "linear_mae": linear["mae"],
-        "polynomial_mae": None if poly is None else poly["mae"],
+        "curvature_detected": curved, "linear_mae": found[0]["mae"],
+        "polynomial_mae": found[1]["mae"] if curved else None,
     })
 
 
@@ -162,8 +140,8 @@ def _used(rows: DataFrame, features: FeatureSet) -> DataFrame:
 
 def train_transaction_model(rows: DataFrame, features: FeatureSet) -> Trained:
     """``rows`` from ``to_features``."""
-    used = _used(rows, features).dropna()
-    return train_from_split(used.filter(~is_test_row()), used.filter(is_test_row()), features)
+    used = _used(rows, features).dropna().withColumn("is_test", is_test_row())
+    return train_from_split(used, features)
 
 
 @dataclass
@@ -186,20 +164,18 @@ def train_deduction_model(rows: DataFrame) -> DeductionModel:
     })
 
 
-def _predict(rows: DataFrame, model: PipelineModel, name: str) -> DataFrame:
-    made = model.transform(rows)
-    known = F.when(~F.isnan("prediction"), F.col("prediction"))
-    return made.select(*rows.columns, known.alias(name))
+def _predict(rows: DataFrame, model: LinearModel, name: str) -> DataFrame:
+    return rows.withColumn(name, model.prediction())
 
 
-def predict_deduction(rows: DataFrame, fee: PipelineModel, refund: PipelineModel) -> DataFrame:
+def predict_deduction(rows: DataFrame, fee: LinearModel, refund: LinearModel) -> DataFrame:
     both = _predict(_predict(rows, fee, "fee_prediction"), refund, "refund_prediction")
     gated = F.when(F.col("had_refund") == 1, F.col("refund_prediction")).otherwise(0.0)
     return both.withColumn("raw_deduction", F.col("fee_prediction") + gated)
 
 
 def predict_transactions(
-    rows: DataFrame, days: PipelineModel, fee: PipelineModel, refund: PipelineModel
+    rows: DataFrame, days: LinearModel, fee: LinearModel, refund: LinearModel
 ) -> DataFrame:
     """All rows of ``to_features`` with predicted days (2 places) and deduction in [0, 1]
     (4 places), as lazy column work over the whole frame."""
@@ -224,21 +200,22 @@ def train_daily_model(frame: DataFrame, features: FeatureSet, today: str) -> Tra
     """
     columns = [*features.numeric, features.target]
     split = daily.chronological_split(frame, columns)
-    train, test = split.filter("is_train"), split.filter(~F.col("is_train"))
-    model = pipeline_of(features).fit(train)
-    fit = errors(model.transform(test), features.target).first()
+    cells = Cells(split, features.numeric, (), features.target, ["is_train"])
+    inside = cells.table["is_train"].astype(bool)
+    train = cells.moments(inside)
+    model = fit(train, features.numeric)
+    found = errors(model.transform(split.filter(~F.col("is_train"))), features.target).first()
     naive = daily.naive_error(split, today, features.target).first()["naive_mae"]
-    final = pipeline_of(features).fit(split)
-    return Trained(final, features, {
-        "label": features.label, "target": features.target, "n_train": train.count(),
-        "n_test": fit["n"], "mae": fit["mae"], "mape_pct": fit["mape_pct"], "rmse": fit["rmse"],
+    return Trained(fit(cells.moments(), features.numeric), features, {
+        "label": features.label, "target": features.target, "n_train": train.n,
+        "n_test": found["n"], "mae": found["mae"], "mape_pct": found["mape_pct"], "rmse": found["rmse"],
         "naive_mae": naive,
-        "improvement_pct": (naive - fit["mae"]) / naive * 100 if naive else None,
+        "improvement_pct": (naive - found["mae"]) / naive * 100 if naive else None,
         "chosen_model": "linear_regression", "curvature_detected": None,
     })
 
 
-def predict_next_day_gmv(frame: DataFrame, model: PipelineModel) -> DataFrame:
+def predict_next_day_gmv(frame: DataFrame, model: LinearModel) -> DataFrame:
     """One row from the last complete day; an error when there is none."""
     latest = daily.latest_complete(frame, list(GMV.numeric))
     if latest.isEmpty():
@@ -259,12 +236,12 @@ def metrics_frame(spark: SparkSession, reports: list[dict]) -> DataFrame:
     )
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(spark: SparkSession, model: LinearModel, path: str) -> None:
+    model.save(spark, path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> LinearModel:
+    return LinearModel.load(spark, path)
 
 
 def residuals(predicted: DataFrame, target: str) -> DataFrame:

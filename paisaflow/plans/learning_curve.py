@@ -1,8 +1,7 @@
 """Cross-validated learning curve of the least-squares model in two passes over the data.
 
-Least squares needs only the sums of products of the columns. One pass takes those sums per
-fold and size step; all fits are then solved from small matrices, and a second pass measures
-every fit at once. Forty fits would otherwise read the rows forty times.
+One pass takes the sums of products per fold and size step (``least_squares``); all fits are then solved
+from small matrices, and a second pass measures every fit at once. Forty fits would otherwise read the rows forty times.
 """
 
 from __future__ import annotations
@@ -14,76 +13,55 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from paisaflow.plans.forecast import FeatureSet
+from paisaflow.plans.least_squares import Cells, LinearModel, fit
 
 FOLDS = 5
 SIZES = tuple(float(s) for s in np.linspace(0.2, 1.0, 8))
 
 
-def _levels(rows: DataFrame, column: str) -> list[str]:
-    return [r[0] for r in rows.select(column).distinct().orderBy(column).collect()]
-
-
-def design(rows: DataFrame, features: FeatureSet) -> tuple[DataFrame, int]:
-    """Rows as ``fold, step, x (array), y``; x starts with 1 and has 0/1 level columns."""
-    parts = [F.lit(1.0)] + [F.col(c).cast("double") for c in features.numeric]
-    for c in features.categorical:
-        # level lists are category names: few by nature
-        parts += [(F.col(c) == level).cast("double") for level in _levels(rows, c)]
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows with their ``fold`` and the first size ``step`` they belong to."""
     place = F.pmod(F.xxhash64("txn_id", F.lit("size")), F.lit(1_000_000)) / 1_000_000.0
     step = F.lit(0)
     for s in SIZES[:-1]:
         step = step + (place >= s).cast("int")
-    return rows.select(
-        F.pmod(F.xxhash64("txn_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"),
-        step.alias("step"), F.array(*parts).alias("x"),
-        F.col(features.target).cast("double").alias("y"),
-    ), len(parts)
-
-
-def gram_sums(designed: DataFrame) -> DataFrame:
-    """``fold, step, pos, value``: the flattened sums of z·zᵀ for z = (x, y)."""
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for (fold, step), part in frame.groupby(["fold", "step"]):
-                z = np.column_stack([np.stack(part["x"].to_numpy()), part["y"].to_numpy()])
-                g = (z.T @ z).ravel()
-                yield pd.DataFrame(
-                    {"fold": fold, "step": step, "pos": np.arange(g.size), "value": g}
-                )
-
-    sums = designed.mapInPandas(partial, "fold int, step int, pos int, value double")
-    return sums.groupBy("fold", "step", "pos").agg(F.sum("value").alias("value"))
-
-
-def _solve(gram: pd.DataFrame, width: int) -> np.ndarray:
-    """Coefficients per (fold, step): trained on the other folds' rows up to that step."""
-    blocks = np.zeros((FOLDS, len(SIZES), width + 1, width + 1))
-    for (fold, step), part in gram.groupby(["fold", "step"]):
-        flat = np.zeros((width + 1) ** 2)
-        flat[part["pos"]] = part["value"]
-        blocks[fold, step] = flat.reshape(width + 1, width + 1)
-    upto = blocks.cumsum(axis=1)
-    out = np.zeros((FOLDS, len(SIZES), width))
-    for f in range(FOLDS):
-        others = upto.sum(axis=0) - upto[f]
-        for s in range(len(SIZES)):
-            out[f, s] = np.linalg.lstsq(others[s][:-1, :-1], others[s][:-1, -1], rcond=None)[0]
+    return rows.withColumns({
+        "fold": F.pmod(F.xxhash64("txn_id", F.lit("fold")), F.lit(FOLDS)).cast("int"), "step": step,
+    })
+
+
+def _fits(rows: DataFrame, features: FeatureSet) -> list[list[LinearModel]]:
+    """Per fold and step the fit on the other folds' rows up to that step."""
+    cells = Cells(rows, features.numeric, features.categorical, features.target, ["fold", "step"])
+    fold, step = cells.table["fold"], cells.table["step"]
+    return [
+        [fit(cells.moments((fold != f) & (step <= s)), features.numeric) for s in range(len(SIZES))]
+        for f in range(FOLDS)
+    ]
+
+
+def _design(frame: pd.DataFrame, features: FeatureSet, models: list[LinearModel]) -> np.ndarray:
+    """Predictions of the models for the rows of a batch, a column per model."""
+    out = np.zeros((len(frame), len(models)))
+    numbers = frame[list(features.numeric)].to_numpy(dtype=float)
+    for k, model in enumerate(models):
+        out[:, k] = model.intercept + numbers @ np.array([model.numeric[c] for c in features.numeric])
+        for c in features.categorical:
+            out[:, k] += frame[c].map(model.levels[c]).fillna(0.0).to_numpy(dtype=float)
     return out
 
 
 def learning_curve(rows: DataFrame, features: FeatureSet) -> DataFrame:
     """``step, size, train_rows, train_mae, validation_mae``, averaged over the folds."""
-    designed, width = design(rows, features)
-    coefficients = _solve(gram_sums(designed).toPandas(), width)  # 40 small matrices
+    used = placed(rows.select("txn_id", *features.numeric, *features.categorical, features.target).dropna())
+    models = _fits(used, features)
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x = np.stack(frame["x"].to_numpy()) if len(frame) else np.zeros((0, width))
-            y, fold, step = (frame[c].to_numpy() for c in ("y", "fold", "step"))
+            y, fold, step = frame[features.target].to_numpy(dtype=float), frame["fold"].to_numpy(), frame["step"].to_numpy()
             out = []
             for f in range(FOLDS):
-                gaps = np.abs(y[:, None] - x @ coefficients[f].T)
+                gaps = np.abs(y[:, None] - _design(frame, features, models[f]))
                 for s in range(len(SIZES)):
                     inside = (fold != f) & (step <= s)
                     held = fold == f
@@ -91,7 +69,7 @@ def learning_curve(rows: DataFrame, features: FeatureSet) -> DataFrame:
                                 gaps[held, s].sum(), int(held.sum())))
             yield pd.DataFrame(out, columns=["fold", "step", "tg", "tn", "vg", "vn"])
 
-    parts = designed.mapInPandas(
+    parts = used.drop("txn_id").mapInPandas(
         measure, "fold int, step int, tg double, tn long, vg double, vn long"
     )
     per_fold = parts.groupBy("fold", "step").agg(*[F.sum(c).alias(c) for c in ("tg", "tn", "vg", "vn")])

@@ -84,8 +84,8 @@ def test_gmv_model(spark, tmp_path):
     frame = daily.gmv_features(df)
     made = forecast.train_daily_model(frame, forecast.GMV, "total_gmv")
     assert made.report["n_train"] == 23 and made.report["n_test"] == 6
-    forecast.save_model(made.model, str(tmp_path / "gmv"))
-    again = forecast.load_model(str(tmp_path / "gmv"))
+    forecast.save_model(spark, made.model, str(tmp_path / "gmv"))
+    again = forecast.load_model(spark, str(tmp_path / "gmv"))
     r = forecast.predict_next_day_gmv(frame, again).first()
     assert r.forecast_date == dt.date(2025, 3, 2) and r.based_on_date == dt.date(2025, 3, 1)
     with pytest.raises(ValueError):
@@ -133,9 +133,10 @@ def test_learning_curve_equals_plain_fits(spark, sf_dir):
     rows = forecast.to_features(registry.workspace(spark, sf_dir).base)
     form = forecast.DAYS_TO_SETTLE
     got = learning_curve.learning_curve(rows, form).collect()
-    designed, _ = learning_curve.design(rows, form)
-    pdf = designed.toPandas()
-    x, y = np.stack(pdf["x"]), pdf["y"].to_numpy()
+    pdf = learning_curve.placed(rows).toPandas()
+    hot = [pdf[c] == level for c in form.categorical for level in sorted(pdf[c].unique())]
+    x = np.column_stack([np.ones(len(pdf)), pdf[list(form.numeric)].astype(float), *hot]).astype(float)
+    y = pdf[form.target].to_numpy(dtype=float)
     maes = []
     for f in range(learning_curve.FOLDS):
         inside = ((pdf["fold"] != f) & (pdf["step"] <= 3)).to_numpy()
