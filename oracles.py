@@ -40,6 +40,48 @@ from (select *, {shapes.KIND} as kind from (
 where kind <> 'missing' and (copy = 0 or kind = 'duplicate')"""
 
 
+def _least_squares(
+    name: str, source: str, columns: list[str], target: str, where: str = "not is_test"
+) -> dict[str, str]:
+    """Least squares over the rows of ``source`` that ``where`` names: the normal equations as a list of rows,
+    solved column by column. Gives every row of ``source`` with its ``prediction``.
+
+    A column that is zero throughout is left out; categories come without their first level.
+    """
+    z = ["1.0::double", *[f"cast({c} as double)" for c in columns]]
+    p = len(z)
+    rows = ", ".join("[" + ", ".join(f"sum({a} * {b})" for b in [*z, f"cast({target} as double)"]) + "]" for a in z)
+    total = " + ".join(f"m[{i + 1}][{p + 1}] * {a}" for i, a in enumerate(z))
+    return {
+        f"{name}_steps(k, m)": f"""
+select 0, [{rows}] from {source} where {where}
+union all
+select k + 1, list_transform(m, lambda r, i: case when abs(m[k + 1][k + 1]) < 1e-9 then r
+    when i = k + 1 then list_transform(r, lambda x: x / r[k + 1])
+    else list_transform(r, lambda x, j: x - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) end)
+from {name}_steps where k < {p}""",
+        name: f"select s.*, {total} as prediction from {source} s cross join (select m from {name}_steps where k = {p})",
+    }
+
+
+_AMOUNT = "(txn_amount / 100000)"
+_METHOD_LEVELS = [f"(payment_method = '{row[0]}')::int" for row in shapes.METHODS[1:]]
+_MERCHANT_LEVELS = [
+    f"(merchant_category = '{m}')::int" for m in ("building", "furniture", "household", "machinery")
+]
+
+
+def _model_report(name: str, label: str, target: str) -> str:
+    """As the library reports a model whose linear form stays."""
+    return f"""
+select '{label}' as label, '{target}' as target, count(*) filter (not is_test) as n_train,
+  count(*) filter (is_test) as n_test, round(avg(abs({target} - prediction)) filter (is_test), 6) as mae,
+  round(100 * avg(abs(({target} - prediction) / {target})) filter (is_test and abs({target}) > 1e-6), 4) as mape_pct,
+  'linear' as chosen_model,
+  coalesce(abs(corr({target} - prediction, txn_amount ** 2) filter (not is_test)) > 0.15, false) as curvature_detected
+from {name}"""
+
+
 def _mutual(name: str, edges: str) -> dict[str, str]:
     """The same choice over one large key: pairs that prefer each other leave together, round by round."""
     first = "row_number() over (partition by {} order by score, l_id, b_id) = 1"
@@ -205,6 +247,27 @@ select l.row_id as l_id, b.row_id as b_id, abs(b.amount - l.net) as score, abs(b
 from (select * from lrest where row_id not in (select l_id from blank_pairs)) l
   cross join (select * from brest where row_id not in (select b_id from blank_pairs)) b""",
     **_mutual("blank_near", "blank_near_edges"),
+    "model_rows": """
+select *, is_weekend_or_holiday::int as off, had_dispute_flag::int as disputed, gst_on_fee_flag::int as taxed,
+  (fee_amount + tax_on_fee) / txn_amount as fee_deduction_pct, refund_amount / txn_amount as refund_deduction_pct,
+  ('0x' || left(md5(txn_id), 8))::bigint % 5 = 0 as is_test
+from base""",
+    "refunded_rows": "select * from model_rows where had_refund",
+    **_least_squares("days_model", "model_rows", [
+        _AMOUNT, "day_of_week", "off", "disputed", *_METHOD_LEVELS, *_MERCHANT_LEVELS,
+    ], "days_to_settle"),
+    # fitted on training rows for the report, on all rows for use
+    **{
+        key: text for suffix, where in (("", "not is_test"), ("_all", "true")) for key, text in {
+            **_least_squares(
+                f"fee_model{suffix}", "model_rows", [_AMOUNT, "taxed", *_METHOD_LEVELS], "fee_deduction_pct", where
+            ),
+            **_least_squares(
+                f"refund_model{suffix}", "refunded_rows", [_AMOUNT, "(refund_amount / 100000)", *_METHOD_LEVELS],
+                "refund_deduction_pct", where,
+            ),
+        }.items()
+    },
     "items": """
 select l.row_id, 'ledger' as side, l.order_id, p.b_id as candidate_id, p.diff, p.hours
 from lrest2 l left join near_pairs p on l.row_id = p.l_id
@@ -779,6 +842,17 @@ select count(days_to_settle) as n, round(avg(days_to_settle), 6) as mean,
   quantile_cont(days_to_settle::double, 0.25) as q25,
   quantile_cont(days_to_settle::double, 0.5) as q50,
   quantile_cont(days_to_settle::double, 0.75) as q75, max(days_to_settle) as high from base""",
+    "model_days_to_settle": _model_report("days_model", "model_a", "days_to_settle"),
+    "model_deduction": f"""
+{_model_report("fee_model", "model_b_fee", "fee_deduction_pct")}
+union all
+{_model_report("refund_model", "model_b_refund", "refund_deduction_pct")}
+union all
+select 'model_b_combined', 'deduction_pct', (select count(*) from model_rows where not is_test), count(*),
+  round(avg(abs(gap)), 6), round(100 * avg(abs(gap / deduction_pct)) filter (abs(deduction_pct) > 1e-6), 4),
+  'fee + refund', null
+from (select f.deduction_pct, f.deduction_pct - f.prediction - coalesce(r.prediction, 0) as gap
+  from fee_model_all f left join refund_model_all r on r.txn_id = f.txn_id where f.is_test)""",
     "amount_describe": """
 select count(txn_amount) as n, round(avg(txn_amount), 4) as mean, round(stddev_samp(txn_amount), 4) as std,
   min(txn_amount) as low, round(quantile_cont(txn_amount, 0.25), 6) as q25,

@@ -624,18 +624,22 @@ def _date_range(w: Workspace) -> DataFrame:
 # --- fitted models: rows only, a fit has no SQL equivalent --------------------
 
 
+def _rounded_metrics(metrics: DataFrame) -> DataFrame:
+    return metrics.withColumns({"mae": F.round("mae", 6), "mape_pct": F.round("mape_pct", 4)})
+
+
 def _features(w: Workspace) -> DataFrame:
     return forecast.to_features(w.base)
 
 
 def _model_days(w: Workspace) -> DataFrame:
     trained = forecast.train_transaction_model(_features(w), forecast.DAYS_TO_SETTLE)
-    return forecast.metrics_frame(w.spark, [trained.report])
+    return _rounded_metrics(forecast.metrics_frame(w.spark, [trained.report]))
 
 
 def _model_deduction(w: Workspace) -> DataFrame:
     made = forecast.train_deduction_model(_features(w))
-    return forecast.metrics_frame(w.spark, [made.fee.report, made.refund.report, made.combined])
+    return _rounded_metrics(forecast.metrics_frame(w.spark, [made.fee.report, made.refund.report, made.combined]))
 
 
 def _daily_models(w: Workspace) -> DataFrame:
