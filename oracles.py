@@ -148,6 +148,34 @@ from (select *, row_number() over (order by date) as position, count(*) over ()
   from {features} where {full}) where position > floor(n * 0.8::double)"""
 
 
+def _daily_model(label: str, features: str, today: str, target: str, p: str, c: str, extra: tuple = ()) -> dict[str, str]:
+    """Days of a series in order, the last fifth held out, and the fit on the others."""
+    history = (f"{p}_lag_1", f"{p}_lag_7", f"{p}_rolling_7", f"{p}_rolling_30", f"{c}_lag_1", f"{c}_lag_7", f"{c}_rolling_7")
+    full = " and ".join(f"{x} is not null" for x in (*history, target))
+    days = {f"{label}_series": f"""
+select *, {today} as today, {target} as target, position > floor(n * 0.8::double) as is_test
+from (select *, row_number() over (order by date) as position, count(*) over () as n
+  from {features} where {full})"""}
+    scaled = [f"({x} / 1000000)" for x in (*history[:4], *(x for x in extra if x.startswith("total")))]
+    plain = [f"({x} / 10)" for x in (*history[4:], *(x for x in extra if not x.startswith("total")))]
+    return days | _least_squares(f"{label}_model", f"{label}_series", [*scaled, *plain], target)
+
+
+_DAILY_MODELS = (
+    ("gmv", "gmv_feat", "total_gmv", "target_gmv", "gmv", "txn_count", ("is_weekend::int",)),
+    ("gmv_experiment", "gmv_feat", "total_gmv", "target_gmv", "gmv", "txn_count", ("is_weekend::int", "total_gmv")),
+    ("refund_experiment", "refund_feat", "total_refunds", "target_refund", "refund", "refund_count", ("total_refunds",)),
+    ("settlement_experiment", "settle_feat", "total_settlement", "target_settlement", "settlement", "settlement_count", ()),
+)
+_DAILY_REPORT = "\nunion all\n".join(f"""
+select '{label}' as label, count(*) filter (not is_test) as n_train, count(*) filter (is_test) as n_test,
+  round(avg(abs(target - prediction)) filter (is_test), 2) as mae,
+  round(sqrt(avg((target - prediction) ** 2) filter (is_test)), 2) as rmse,
+  round(avg(abs(target - today)) filter (is_test), 2) as naive_mae,
+  round((1 - avg(abs(target - prediction)) filter (is_test) / avg(abs(target - today)) filter (is_test)) * 100, 4)
+    as improvement_pct
+from {label}_model""" for label, *_ in _DAILY_MODELS)
+
 _BASE_COLUMNS = (
     "txn_id, source, gateway_payment_id, order_id, txn_amount, payment_method, created_at,"
     " day_of_week, is_weekend_or_holiday, merchant_category, had_dispute_flag, had_refund,"
@@ -460,6 +488,7 @@ from base b join (select unnest([1, 2]) as n) n on n.n = 1 or b.k % 10 = 0 where
     "json_texts": r"""
 select txn_id, k % 6 as kind from base""",
 }
+CTES |= {key: text for model in _DAILY_MODELS for key, text in _daily_model(*model).items()}
 
 
 def _topk(query_id: int) -> str:
@@ -853,6 +882,7 @@ select 'model_b_combined', 'deduction_pct', (select count(*) from model_rows whe
   'fee + refund', null
 from (select f.deduction_pct, f.deduction_pct - f.prediction - coalesce(r.prediction, 0) as gap
   from fee_model_all f left join refund_model_all r on r.txn_id = f.txn_id where f.is_test)""",
+    "model_daily": _DAILY_REPORT,
     "amount_describe": """
 select count(txn_amount) as n, round(avg(txn_amount), 4) as mean, round(stddev_samp(txn_amount), 4) as std,
   min(txn_amount) as low, round(quantile_cont(txn_amount, 0.25), 6) as q25,

@@ -657,7 +657,9 @@ def _daily_models(w: Workspace) -> DataFrame:
         [tuple(r[n] for n in names) for r in reports],
         "label string, n_train long, n_test long, mae double, rmse double, naive_mae double,"
         " improvement_pct double",
-    )
+    ).withColumns({
+        **{n: F.round(n, 2) for n in ("mae", "rmse", "naive_mae")}, "improvement_pct": F.round("improvement_pct", 4),
+    })
 
 
 def _next_day_gmv(w: Workspace) -> DataFrame:
