@@ -154,7 +154,7 @@ def resolve(members: DataFrame, sets: DataFrame, percent: int, rounds: int = ROU
         facts = ("cid", "d", "r", "apart", "comp")
         one = keyed.select("key", *[c(x).alias(f"x_{x}") for x in facts])
         two = keyed.select("key", *[c(x).alias(f"y_{x}") for x in facts])
-        pairs = _salted(one, "x_cid").join(_copied(two), ["key", "salt"]).filter(
+        pairs = one.join(two, "key").filter(
             (c("x_cid") < c("y_cid")) & (c("x_comp") != c("y_comp")) & (c("x_apart") | c("y_apart"))
             & (c("x_d") <= c("y_r")) & (c("y_d") <= c("x_r"))
         ).select(c("x_cid").alias("a"), c("y_cid").alias("b")).distinct()
