@@ -21,6 +21,7 @@ with hubs of their own, up to ``rounds``. Nothing that may link is left out.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -98,14 +99,18 @@ def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     return found
 
 
-def resolve(members: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame | None:
+def resolve(
+    members: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS, found: Sequence[DataFrame] = (),
+    possible: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame | None:
     """Components (``node``, ``root``) of all sets that link with another; None if none do.
 
     ``members``: key, cid, n, alone (how many tokens no other candidate has). ``sets``: cid, n, tokens (at least
-    those that another candidate has).
+    those that another candidate has). ``found``: links known before. ``possible``: leaves out pairs (a, b) that need
+    no comparison.
     """
     near, far = 100 - percent, 100 + percent
-    members, found, labels = cut(distinct_buckets(members)), [], None
+    members, found, labels = cut(distinct_buckets(members)), list(found), None
     for round_number in range(rounds):
         if members.isEmpty():
             break
@@ -131,20 +136,20 @@ def resolve(members: DataFrame, sets: DataFrame, percent: int, rounds: int = ROU
         ).filter("least_apart is not null")
         # the least a partner's d may be
         partner = F.when(c("apart"), c("least_d")).otherwise(c("least_apart"))
-        possible = cut(_salted(placed, "cid").join(_copied(limits), ["hub", "salt"]).filter(
+        open_rows = cut(_salted(placed, "cid").join(_copied(limits), ["hub", "salt"]).filter(
             (c("d") <= F.when(c("apart"), c("most_r")).otherwise(c("most_r_apart"))) & (c("r") >= partner)
         ).select(
             "hub", "cid", "n", "alone", "d", "r", "apart", (F.floor((c("r") - partner) / (2 * far)) + 1).alias("prefix"),
             (c("least_apart") + c("least_d") <= 2 * far * c("alone_hub")).alias("as_whole"),
         ))
         forget(placed)
-        if possible.isEmpty():
+        if open_rows.isEmpty():
             break
         labels = components(reduce(DataFrame.unionByName, found))
-        known = _with_component(possible, labels)
+        known = _with_component(open_rows, labels)
         mixed = known.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
         keyed = _differences(known.join(mixed.select("hub"), "hub", "left_semi"), sets)
-        forget(possible)
+        forget(open_rows)
         size = keyed.groupBy("key").count().agg(
             F.sum("count").alias("rows"), F.sum(c("count") * (c("count") - 1) / 2).alias("pairs")
         ).first()
@@ -158,6 +163,8 @@ def resolve(members: DataFrame, sets: DataFrame, percent: int, rounds: int = ROU
             (c("x_cid") < c("y_cid")) & (c("x_comp") != c("y_comp")) & (c("x_apart") | c("y_apart"))
             & (c("x_d") <= c("y_r")) & (c("y_d") <= c("x_r"))
         ).select(c("x_cid").alias("a"), c("y_cid").alias("b")).distinct()
+        if possible is not None:
+            pairs = possible(pairs)
         found.append(cut(compared(pairs, sets).filter(linked(percent)).select("a", "b")))
         break
     if not found:

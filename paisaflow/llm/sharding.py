@@ -10,7 +10,7 @@ capacity has the highest dot product with the item's vector.
 
 The law kept is ``bytes``: bytes weigh most in the product, and the last, smallest items level them.
 Null text has no bytes of its own and lies with the empty texts. Null ``doc_id`` and repeated rows
-are placed as any other. An empty table gives an empty result; other columns are not read.
+are placed as any other: a large group is split by its rows' stored numbers, not by their ids. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = cut(docs.select(
         "doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         n_words().alias("tokens"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        F.md5(text).alias("group"),
+        F.md5(text).alias("group"), F.monotonically_increasing_id().alias("row"),
     ))
     groups = cut(rows.groupBy("group").agg(
         F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_rows")
@@ -72,7 +72,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     named = rows.join(F.broadcast(large), "group", "left").withColumn(
         "item",
         F.when(F.col("pieces").isNull(), parcel).when(F.col("pieces") == 1, F.col("group"))
-        .otherwise(F.concat_ws(" ", "group", F.pmod(F.xxhash64("doc_id"), F.col("pieces")))),
+        .otherwise(F.concat_ws(" ", "group", F.pmod(F.xxhash64("row"), F.col("pieces")))),
     )
     items = named.groupBy("item").agg(
         F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_rows")

@@ -34,10 +34,44 @@ def test_near_dedup_large_group_of_near_copies(table):
     assert got == sorted(brute.components(rows, 4, 80), key=str)
 
 
+def test_near_dedup_just_under_the_threshold_makes_few_pairs(table, monkeypatch):
+    chance = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    fresh = iter(f"x{i}" for i in range(10 ** 6))
+    rows = [(0, " ".join(base), "en", "a", 0)]
+    for i in range(1, 300):
+        words = list(base)
+        for at in chance.sample(range(5, 115), chance.choice([1, 2, 3, 3, 4, 5])):
+            words[at] = next(fresh)
+        rows.append((i, " ".join(words), "en", "a", 0))
+    made = []
+    plain = near_dedup.likely_pairs
+
+    def counted(pairs, sketches, percent):
+        made.append(pairs.count())
+        return plain(pairs, sketches, percent)
+
+    monkeypatch.setattr(near_dedup, "likely_pairs", counted)
+    got = tuples(near_dedup.near_dedup(table(rows), 4, 80), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(brute.components(rows, 4, 80), key=str)
+    assert sum(made) < 20 * len(rows)
+
+
+def test_built_words_are_told_apart(table):
+    """Words of one polynomial hash (a Thue-Morse word and its complement) have nothing in common."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([one] * 4), "en", "a", 0), (2, " ".join([two] * 4), "en", "a", 0)]
+    got = tuples(near_dedup.near_dedup(table(rows), 4, 80), "doc_id", "component_id")
+    assert got == [(1, 1), (2, 2)]
+
+
 def test_survivors_are_one_of_each_component(table, odd_rows):
     docs = table(odd_rows, extra=True)
     kept = near_dedup.survivors(docs, 5, 80)
     assert kept.columns == docs.columns
+    named = near_dedup.survivors(docs.withColumn("__own", F.lit("mine")), 5, 80)
+    assert {r["__own"] for r in named.collect()} == {"mine"}
     got = [r for r in kept.collect()]
     want = {c for _, n, c in brute.components(odd_rows, 5, 80) if n}
     with_words = [r["doc_id"] for r in got if brute.shingles(r["text"], 5)]
@@ -254,6 +288,15 @@ def test_sharding_is_level_and_keeps_small_groups():
     assert (sums[:, 0].max() / sums[:, 0].mean()) < 1.01
 
 
+def test_sharding_is_level_with_null_and_repeated_ids(table):
+    chance = random.Random(3)
+    for hot in (None, 7):
+        rows = [(hot, "hot " * 25, "en", "a", 0) for _ in range(2000)]
+        rows += [(5000 + i, f"{i} " * chance.randrange(1, 60), "en", "b", 0) for i in range(4000)]
+        sums = sharding.sharded(table(rows)).toPandas().groupby("shard")["size"].sum()
+        assert len(sums) == sharding.SHARDS and sums.max() < 1.01 * sums.mean() and sums.min() > 0.99 * sums.mean()
+
+
 def test_sharding_keeps_its_law(table):
     """Bytes near equal over shards, with many copies and one group of many shards' bytes."""
     import zlib
