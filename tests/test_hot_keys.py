@@ -214,3 +214,26 @@ def test_segments_of_the_axis(spark, monkeypatch):
     ls = [ledger(source_id=f"L{i:03d}", order_id="", amount=amount(), fee=0.0, raw_tax_on_fee=0.0) for i in range(70)]
     bs = [bank(source_id=f"B{i:03d}", order_id="", amount=amount()) for i in range(60)]
     assert pairs_of(hot_nearest.pair_nearest(*keyed(spark, ls, bs))) == greedy(ls, bs, gap)
+
+
+@pytest.mark.parametrize("pair, cost", [
+    (lambda l, b: hot_pairing.pair_in_bands(l, b, FUZZY_TOLERANCE), fuzzy_cost), (hot_nearest.pair_nearest, gap),
+])
+def test_small_parts_are_folded_in_buckets(spark, monkeypatch, pair, cost):
+    """Calls of Python follow the rows, not the number of parts; no part is split."""
+    monkeypatch.setattr(folding, "BUCKET_ROWS", 400)
+    calls = []
+    plain = folding.in_buckets
+
+    def seen(table, by, rows):
+        dealt = plain(table, by, rows)
+        places = dealt.select(*by, "bucket").distinct().collect()
+        calls.append((len({tuple(r[:-1]) for r in places}), len(places), len({r.bucket for r in places}), rows))
+        return dealt
+
+    monkeypatch.setattr(folding, "in_buckets", seen)
+    ls, bs = many_keys(21, 60)
+    assert pairs_of(pair(*keyed(spark, ls, bs))) == greedy(ls, bs, cost)
+    assert max(parts for parts, *_ in calls) > 30
+    for parts, places, buckets, rows in calls:
+        assert places == parts and buckets <= max(1, -(-rows // 400))
