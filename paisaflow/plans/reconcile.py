@@ -46,7 +46,7 @@ def reconcile(
     second = fuzzy_match(l1, b1, hot_keys, keep=keep)
     l2, b2 = side_by_side(keep, second.ledger_rest, second.bank_rest)
     items = keep(open_items(l2, b2, hot_keys))
-    third = resolve(items, resolutions)
+    third = resolve(items, resolutions, keep=keep)
     exceptions = third.exceptions
     if emit_both_sides:
         exceptions = exceptions.unionByName(refused_candidates(items, exceptions))

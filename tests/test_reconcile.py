@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from paisaflow.operators import adjudicate
+import registry
+from paisaflow.operators import adjudicate, pairing
 from paisaflow.operators.exact import exact_match
 from paisaflow.operators.fuzzy import fuzzy_match
 from paisaflow.operators.nearest import nearest_pairs
@@ -153,3 +154,35 @@ def test_every_row_in_at_most_one_match(spark, sf_dir):
     )
     assert matches.filter("tier = 'llm'").count() > 0
     assert open_rows.count() == w.ledger.count() + w.bank.count()
+
+
+def test_matching_stores_no_base_and_judges_once(spark, sf_dir):
+    w = registry.Workspace(spark, sf_dir)
+    judged = []
+    kept = adjudicate.resolve(w.items, w.resolutions, keep=lambda df: judged.append(df) or df)
+    assert kept.matches.count() == w.tier3.matches.count()
+    assert kept.exceptions.count() == w.tier3.exceptions.count()
+    assert len(judged) == 1
+    assert "base" not in vars(w)
+
+
+def test_greedy_choice_with_copies_and_open_edges(spark):
+    edges = [
+        ("one", 1.0, "L1", "B1"), ("copies", 1.0, "L1", "B1"), ("copies", 1.0, "L1", "B1"),
+        ("two", 1.0, "L1", "B1"), ("two", 2.0, "L1", "B2"), ("two", 3.0, "L2", "B1"), ("two", 4.0, "L2", "B2"),
+        *[("three", float(abs(3 * i - 2 * j)), f"L{i}", f"B{j}") for i in range(3) for j in range(3)],
+        ("unknown", 1.0, None, "B1"), ("unknown", 2.0, None, "B2"), ("unknown", 3.0, "L1", "B2"),
+    ]
+    df = spark.createDataFrame(
+        [(*e, 0.0, 0.0) for e in edges],
+        "order_key string, cost double, l_id string, b_id string, diff double, hours double",
+    )
+    got = sorted(map(str, ((r.order_key, r.l_id, r.b_id) for r in pairing.take_greedily(df).collect())))
+    want = []
+    for key in {e[0] for e in edges}:
+        taken = []
+        for _, _, l, b in sorted((e for e in edges if e[0] == key), key=lambda e: (e[1], e[2] or "", e[3])):
+            if not any((l is not None and l == x) or b == y for x, y in taken):
+                taken.append((l, b))
+        want += [str((key, *t)) for t in taken]
+    assert got == sorted(want)
