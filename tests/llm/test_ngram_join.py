@@ -119,3 +119,28 @@ def test_words_with_one_polynomial_hash_differ():
 def test_empty_table(spark, table):
     out = nj.ngram_join(table([]))
     assert sorted(out.columns) == ["component_id", "doc_id", "n_shingles"] and out.count() == 0
+
+
+def test_differences_become_rows_only_up_to_their_prefix(spark, monkeypatch):
+    """Members that miss many of the hub's tokens, of which two decide."""
+    hub = list(range(100))
+    sets = spark.createDataFrame(
+        [(0, 100, hub)] + [(i, 100, [t for t in hub if (t + i) % 4]) for i in range(1, 9)],
+        "cid long, n long, tokens array<long>",
+    )
+    members = spark.createDataFrame(
+        [(0, i, 100, 0, 0, 0, True, i, 2, False) for i in range(1, 9)],
+        "hub long, cid long, n long, alone long, d long, r long, apart boolean, comp long, prefix long, as_whole boolean",
+    )
+    rows, plain = [], hubs.cut
+
+    def counted(frame):
+        kept = plain(frame)
+        rows.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(hubs, "cut", counted)
+    keyed = hubs._differences(members, sets).groupBy("key").agg({"cid": "count"}).collect()
+    # members 1 and 5, 2 and 6, 3 and 7, 4 and 8 miss the same tokens
+    assert sorted(r[1] for r in keyed) == [2] * 8
+    assert max(rows) <= 16
