@@ -396,6 +396,22 @@ def repeated_spans(texts: DataFrame, method: Method, index, counts, limit: int =
 POSITION_BITS = 21
 
 
+def dense_ranks(key: np.ndarray) -> np.ndarray:
+    """Ranks from 1, equal for equal keys, of keys of at most 43 bits: one sort of keys with their positions."""
+    n = len(key)
+    assert n < 1 << POSITION_BITS
+    bits = np.uint64(POSITION_BITS)
+    packed = (key.astype(np.uint64) << bits) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    value = packed >> bits
+    new = np.ones(n, np.int64)
+    np.cumsum(value[1:] != value[:-1], out=new[1:])
+    new[1:] += 1
+    rank = np.empty(n, np.int64)
+    rank[(packed & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)] = new
+    return rank
+
+
 def sort_suffixes(rank: np.ndarray, left: np.ndarray, length: int, depth: int):
     """Suffixes in order of their first ``depth`` symbols or more, by doubling.
 

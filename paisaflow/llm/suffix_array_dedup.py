@@ -2,12 +2,12 @@
 
 Candidate pieces come from ``repeats``. A task sorts the suffixes of its pieces, which gives the
 Burrows-Wheeler transform as a permutation: the row before row ``i`` in the text, and back. Common
-prefixes then follow breadth-first, by increasing value. Rows ``i-1`` and ``i`` that start with
-different symbols have 0 in common. Otherwise they are the backward extension, by that symbol,
-of two rows further on, and have ``v+1`` in common as soon as a boundary of value ``v`` lies between
-those. After 50 rounds the boundaries that are still open have 50 bytes or more in common, and the
-rows between closed ones are the places of one string. The smallest document id of an interval
-decides for all its rows.
+prefixes then follow breadth-first, by increasing value. If all boundaries of rows with fewer than ``v``
+symbols in common are closed, two neighbouring rows with ``v`` or more are the backward extension, by ``s <= v``
+symbols, of two rows further on, and have ``v + s`` in common unless a closed boundary lies between those. The
+sort's ranks close all below 32 at once, so that one round of 18 symbols leads to 50. The boundaries that are
+still open then have 50 bytes or more in common, and the rows between closed ones are the places of one string.
+The smallest document id of an interval decides for all its rows.
 
 Null text counts as empty. A document with a null id comes after all others; documents of the same
 id, or several without one, have no earlier one among themselves. A copy of an earlier document's
@@ -24,37 +24,40 @@ from pyspark.sql import DataFrame, functions as F
 
 from paisaflow.llm.frames import by_batch, documents
 from paisaflow.llm.repeats import (
-    Method, byte_windows, distinct_texts, mark_columns, repeated_spans, sort_suffixes,
+    Method, byte_windows, dense_ranks, distinct_texts, mark_columns, repeated_spans, sort_suffixes,
 )
 from paisaflow.session import cut, forget
 
 WINDOW, GRAMS = 50, (24, 40, 50)
 
 
-def open_boundaries(symbol: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+def open_boundaries(
+    symbol: np.ndarray, order: np.ndarray, depth: int, closed: np.ndarray | None = None, known: int = 1
+) -> np.ndarray:
     """Per row whether it has ``depth`` symbols or more in common with the row before.
 
     ``symbol`` is the text, 0 ending each piece; ``order`` its suffixes in order (to a depth above
-    ``depth``, ties by position).
+    ``depth``, ties by position). ``closed``: the rows known to have fewer than ``known`` in common.
     """
     n = len(order)
-    row = np.empty(n, np.int64)
-    row[order] = np.arange(n)
-    first = symbol[order]
-    # the row that row i extends backwards; the last symbol of the text ends a piece
-    rest = row[np.minimum(order + 1, n - 1)]
-    closed = np.ones(n, bool)
-    closed[1:] = (first[1:] != first[:-1]) | (first[1:] == 0)
+    row = np.empty(n, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
+    if closed is None:
+        first = symbol[order]
+        closed = np.ones(n, bool)
+        closed[1:] = (first[1:] != first[:-1]) | (first[1:] == 0)
+        known = 1
+    else:
+        closed = closed.copy()
     waiting = np.flatnonzero(~closed)
-    low = np.minimum(rest[waiting - 1], rest[waiting])
-    high = np.maximum(rest[waiting - 1], rest[waiting])
-    for _ in range(depth - 1):
+    while known < depth and len(waiting):
+        step = min(known, depth - known)
+        # the rows that a row and the one before extend backwards; open ones do not end within ``step``
+        one, two = row[order[waiting - 1] + step], row[order[waiting] + step]
         before = np.cumsum(closed, dtype=np.int32)
-        ends = before[high] > before[low]
-        if not ends.any():
-            break
+        ends = before[one] != before[two]
         closed[waiting[ends]] = True
-        waiting, low, high = waiting[~ends], low[~ends], high[~ends]
+        waiting, known = waiting[~ends], known + step
     return ~closed
 
 
@@ -75,9 +78,11 @@ def index_pieces(table: pa.Table, window: int = WINDOW):
         ahead[:n - k] = symbol[k:]
         ahead[left < k] = 0
         key = (key << 9) | ahead
-    _, rank = np.unique(key, return_inverse=True)
-    order, _ = sort_suffixes(rank + 1, left, 4, window + 1)
-    together = open_boundaries(symbol, order, window)
+    order, levels = sort_suffixes(dense_ranks(key), left, 4, window + 1)
+    known, rank = [level for level in levels if level[0] <= window][-1]
+    closed = np.ones(n, bool)
+    closed[1:] = (np.diff(rank[order]) != 0) | (left[order[1:]] < known)
+    together = open_boundaries(symbol, order, window, closed, known)
     begin = np.flatnonzero(~together)
     least = np.minimum.reduceat(table.column("d").to_numpy()[piece[order]], begin)
     g = np.empty(n, np.int64)

@@ -161,6 +161,29 @@ def test_open_boundaries_equal_common_prefixes():
         assert got[k] == (len(a) >= 6 and a[:6] == b[:6])
 
 
+def test_open_boundaries_go_on_from_the_ranks_of_the_sort():
+    """One round from boundaries closed below 32 says the same as rounds from the first symbol on."""
+    from paisaflow.llm.repeats import dense_ranks, sort_suffixes
+
+    chance = np.random.default_rng(5)
+    symbol = np.tile(chance.integers(1, 4, 120), 30).astype(np.int64)
+    symbol[chance.integers(0, len(symbol), 40)] = 9
+    symbol[[700, 1900, 2500, -1]] = 0
+    n, ends = len(symbol), np.flatnonzero(symbol == 0)
+    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    rank = dense_ranks(symbol)
+    assert rank.tolist() == (np.unique(symbol, return_inverse=True)[1] + 1).tolist()
+    order, levels = sort_suffixes(rank * (symbol > 0), left, 1, 51)
+    piece = [tuple(symbol[i:i + left[i]]) for i in order]
+    want = [False] + [len(b) >= 50 and a[:50] == b[:50] for a, b in zip(piece, piece[1:])]
+    known, ranks = next(level for level in levels if level[0] == 32)
+    closed = np.ones(n, bool)
+    closed[1:] = (np.diff(ranks[order]) != 0) | (left[order[1:]] < known)
+    assert suffix_array_dedup.open_boundaries(symbol, order, 50, closed, known).tolist() == want
+    assert suffix_array_dedup.open_boundaries(symbol, order, 50).tolist() == want
+    assert 100 < sum(want) < n - 100
+
+
 def test_exact_dedup(table, odd_rows):
     docs = table(odd_rows, extra=True)
     from pyspark.sql import functions as F
