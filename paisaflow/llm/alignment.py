@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -121,26 +122,41 @@ def side(ids: list[np.ndarray], size: np.ndarray) -> Side:
     return Side(joined, np.cumsum(size[joined]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64))
 
 
+def ends_below(end: np.ndarray, limit: int) -> np.ndarray:
+    """For every byte place up to ``limit`` how many ends are smaller: one pass over the bytes, no search per end."""
+    out = np.zeros(limit + 2, np.int32)
+    np.cumsum(np.bincount(end, minlength=limit + 1), out=out[1:])
+    return out[:-1]
+
+
+def _limit(a: Side, b: Side) -> int:
+    return max(int(x.end[-1]) if len(x.end) else 0 for x in (a, b))
+
+
 def links(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
     """Places of the A and the B token of every overlapping pair, in text order."""
-    # two sorted runs: a stable sort merges them
-    ends = np.sort(np.concatenate([a.end, b.end]), kind="stable")
-    ends = ends[np.append(np.diff(ends) > 0, True)] if len(ends) else ends
-    return np.searchsorted(a.end, ends), np.searchsorted(b.end, ends)
+    limit = _limit(a, b)
+    marked = np.zeros(limit + 1, bool)
+    marked[a.end] = marked[b.end] = True
+    ends = np.flatnonzero(marked)
+    return ends_below(a.end, limit)[ends].astype(np.int64), ends_below(b.end, limit)[ends].astype(np.int64)
 
 
 def terminals(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
     """For every A and B token the B token at which its component ends, by pointer jumping."""
     n = len(a.end)
     # the token that holds the last byte reaches farthest right of all that overlap
-    to_b = np.searchsorted(b.end, a.end)
-    to_a = np.searchsorted(a.end, b.end)
-    last = np.arange(n, n + len(b.end))
+    limit = _limit(a, b)
+    to_b = ends_below(b.end, limit)[a.end]
+    to_a = ends_below(a.end, limit)[b.end]
+    last = np.arange(n, n + len(b.end), dtype=np.int32)
     shared = np.zeros(len(b.end), bool)
     if n:
         shared = a.end[np.minimum(to_a, n - 1)] == b.end
-    pointer = np.concatenate([n + to_b, np.where(shared, last, to_a)])
-    moving = np.arange(len(pointer))
+    pointer = np.concatenate([to_b + np.int32(n), np.where(shared, last, to_a)])
+    ahead = pointer[pointer]
+    moving = np.flatnonzero(ahead != pointer)
+    pointer = ahead
     while len(moving):
         ahead = pointer[pointer[moving]]
         moved = ahead != pointer[moving]
@@ -150,38 +166,38 @@ def terminals(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=1)
-def _decimals() -> tuple[np.ndarray, np.ndarray]:
-    """Letters and lengths of the numbers that fit 16 bits."""
+def _decimals() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the numbers that fit 16 bits: their letters in eight bytes, which bytes they and one more fill, their lengths."""
     n = np.arange(1 << 16)
     digits = np.ones(len(n), np.int64)
     for k in range(1, 5):
         digits += n >= 10 ** k
-    power = 10 ** np.maximum(digits[:, None] - 1 - np.arange(5), 0)
-    return (48 + n[:, None] // power % 10).astype(np.uint8), digits
+    place = np.arange(8)
+    power = 10 ** np.maximum(digits[:, None] - 1 - place, 0)
+    letters = np.where(place < digits[:, None], 48 + n[:, None] // power % 10, 0).astype(np.uint8)
+    filled = (place <= digits[:, None]).astype(np.uint8)
+    return letters.view("<u8").ravel(), filled.view("<u8").ravel(), digits
 
 
 def _text_of(ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Decimal ids, each followed by a byte, as one array; and where each begins."""
-    letters, digits = _decimals()
-    begin = np.concatenate([[0], np.cumsum(digits[ids] + 1)])
-    out = np.empty(begin[-1], np.uint8)
-    out[begin[1:] - 1] = after
-    at, rest = begin[:-1], ids
-    for k in range(letters.shape[1]):
-        longer = digits[rest] > k
-        at, rest = at[longer], rest[longer]
-        out[at + k] = letters[rest, k]
-    return out, begin
+    letters, filled, digits = _decimals()
+    size = digits[ids]
+    begin = np.concatenate([[0], np.cumsum(size + 1)])
+    spelled = letters[ids] | (after.astype("<u8") << (8 * size).astype("<u8"))
+    return spelled.view(np.uint8)[filled[ids].view(bool)], begin
 
 
 def group_digests(a: Side, b: Side) -> tuple[np.ndarray, list[str]]:
     """Number of groups and SHA-256 of their spelling, per text."""
     end_a, end_b = terminals(a, b)
     texts = len(a.first) - 1
-    closing = np.flatnonzero(end_b == np.arange(len(end_b)))
-    group_a, group_b = np.searchsorted(closing, end_a), np.searchsorted(closing, end_b)
-    before_b = np.searchsorted(group_b, np.arange(len(closing) + 1))
-    upto_a = np.searchsorted(group_a, np.arange(len(closing) + 1))
+    closes = end_b == np.arange(len(end_b))
+    closing = np.flatnonzero(closes)
+    group_of = np.cumsum(closes) - closes
+    group_a, group_b = group_of[end_a], group_of[end_b]
+    before_b = np.append(0, np.cumsum(np.bincount(group_b, minlength=len(closing))))
+    upto_a = np.append(0, np.cumsum(np.bincount(group_a, minlength=len(closing))))
     n = len(a.ids) + len(b.ids)
     ids, after = np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
     place_a = np.arange(len(a.ids)) + before_b[group_a]
@@ -226,9 +242,9 @@ def _encoded(batch: pa.RecordBatch, folder: str):
         for text, own_b in zip(some, v.encode_b(some)):
             whole = (" " + text).encode() if text else b""
             own_a = v.encode_a(" " + text) if text else []
-            fits = b"".join([v.bytes_a[i] for i in own_a]) == whole == b"".join([v.bytes_b[i] for i in own_b])
-            ids_a.append(np.array(own_a if fits else [], np.uint16))
-            ids_b.append(np.array(own_b if fits else [], np.uint16))
+            fits = b"".join(map(v.bytes_a.__getitem__, own_a)) == whole == b"".join(map(v.bytes_b.__getitem__, own_b))
+            ids_a.append(np.frombuffer(array("H", own_a if fits else ()), np.uint16))
+            ids_b.append(np.frombuffer(array("H", own_b if fits else ()), np.uint16))
         groups, digests = group_digests(side(ids_a, v.size_a), side(ids_b, v.size_b))
         yield {
             "doc_id": batch.column("doc_id").slice(lo, hi - lo), "n_a": [len(x) for x in ids_a],
@@ -247,7 +263,7 @@ def _linked(batch: pa.RecordBatch, folder: str):
             for c, table in (("ids_a", v.size_a), ("ids_b", v.size_b))
         )
         at_a, at_b = links(a, b)
-        row = np.searchsorted(a.first, at_a, side="right") - 1
+        row = np.repeat(np.arange(hi - lo), np.diff(np.searchsorted(at_a, a.first)))
         yield lo, hi, row, (a.ids[at_a] << 16) | b.ids[at_b]
 
 
@@ -268,6 +284,16 @@ _SUMS = pa.schema([
 ])
 
 
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each of ``wanted`` (32 bits) stands among the sorted ``keys``; each different one is looked up once."""
+    packed = np.sort((wanted.astype(np.uint64) << np.uint64(32)) | np.arange(len(wanted), dtype=np.uint64))
+    value, position = (packed >> np.uint64(32)).astype(np.int64), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    begin = np.flatnonzero(np.diff(value, prepend=-1))
+    out = np.empty(len(wanted), np.int64)
+    out[position] = np.repeat(np.searchsorted(keys, value[begin]), np.diff(np.append(begin, len(value))))
+    return out
+
+
 def _looked_up(batch: pa.RecordBatch, folder: str, pairs: np.ndarray, n: np.ndarray):
     """Sums over the links whose pairs are in the slice ``pairs`` (sorted) with counts ``n``."""
     begin = np.flatnonzero(np.diff(pairs >> 16, prepend=-1))
@@ -276,11 +302,12 @@ def _looked_up(batch: pa.RecordBatch, folder: str, pairs: np.ndarray, n: np.ndar
     for lo, hi, row, pair in _linked(batch, folder):
         inside = (pair >= pairs[0]) & (pair <= pairs[-1]) if len(pairs) else np.zeros(len(pair), bool)
         row, pair = row[inside], pair[inside]
-        different, which = np.unique(pair, return_inverse=True)
-        at = np.searchsorted(pairs, different)[which]
+        at = places(pairs, pair)
         rows = hi - lo
         total = np.zeros(rows, np.int64)
-        np.add.at(total, row, n[at])
+        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        if len(row):
+            total[row[begin]] = np.add.reduceat(n[at], begin)
         yield {
             **{c: batch.column(c).slice(lo, rows) for c in ("row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256")},
             "n_links": np.bincount(row, minlength=rows), "n_best": np.bincount(row[best[at]], minlength=rows),

@@ -100,6 +100,19 @@ def test_pointer_jumping_crosses_long_components():
     assert end_b.tolist() == closing[np.searchsorted(ends, b.end)].tolist()
 
 
+def test_ends_and_places_equal_binary_search():
+    chance = np.random.default_rng(6)
+    for n in (0, 1, 7, 500):
+        end = np.sort(chance.integers(0, 3 * n + 1, n))
+        limit = 3 * n + 5
+        assert alignment.ends_below(end, limit).tolist() == np.searchsorted(end, np.arange(limit + 1)).tolist()
+        keys = np.unique(chance.integers(0, 1 << 32, n))
+        wanted = chance.choice(keys, 3 * n) if n else keys
+        assert alignment.places(keys, wanted).tolist() == np.searchsorted(keys, wanted).tolist()
+    spelled, begin = alignment._text_of(np.array([0, 9, 10, 65535, 999, 10000]), np.frombuffer(b",|;,;,", np.uint8))
+    assert spelled.tobytes() == b"0,9|10;65535,999;10000," and begin.tolist() == [0, 2, 4, 7, 13, 17, 23]
+
+
 def test_empty_table(spark, table):
     out = alignment.alignment(table([]))
     assert out.columns == COLUMNS and out.count() == 0
