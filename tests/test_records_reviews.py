@@ -204,3 +204,31 @@ def test_questions(spark):
     assert one(spark, q, "string", text.ids_in) == ["order_A1_b", "TXN0042"]
     assert one(spark, q, "string", text.is_forward_looking)
     assert one(spark, q, "string", text.is_cash_question)
+
+
+@pytest.mark.parametrize("kind", ["float", "double", "int"])
+def test_score_of_few_entries_equals_the_whole_product(spark, kind):
+    from paisaflow.functions.vectors import dot
+
+    inf, nan = float("inf"), float("nan")
+    odd = [
+        [0.1, 0.2, 0.3, 0.7], [-0.0, 0.0, -0.0, 1e-300], [1e38, -3.3, 1e-40, 2.0], [0.1, None, 0.3, 0.7], [0.1, 0.2, 0.3, None],
+        [0.1, inf, 0.3, 0.7], [0.1, -inf, 0.3, 0.7], [0.1, nan, 0.3, 0.7], [inf, 0.2, 0.3, -inf], [0.1, 0.2, 0.3],
+        [0.1, 0.2, 0.3, 0.7, 0.9], [], None, [None] * 4,
+    ]
+    if kind == "int":
+        odd = [[1, 2, 3, 4], [1, None, 3, 4], [], None]
+    rows = spark.createDataFrame(list(enumerate(odd)), f"txn_id long, embedding array<{kind}>")
+    for query in ([0.3, 0.0, 0.0, -1.7], [0.0] * 4, [0.1, 0.2, 0.3, 0.4], [0.0, nan, 0.0, 0.0], [inf, 0.0, 0.0, 0.0], []):
+        whole = dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))
+        found = rows.select(similarity.score(rows, query).alias("got"), whole.alias("want")).collect()
+        assert [repr(r.got) for r in found] == [repr(r.want) for r in found], query
+    ranked = similarity.top_k(rows, [0.3, 0.0, 0.0, -1.7], 20).count()
+    assert ranked == len(odd)
+
+
+def test_score_of_few_entries_reads_no_other(spark):
+    rows = spark.createDataFrame([(1, [0.6, 0.8])], "txn_id long, embedding array<float>")
+    plan = lambda q: rows.select(similarity.score(rows, q))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan([0.5, 0.0]).upper()
+    assert "CASE WHEN" not in plan([0.5] * 65).upper()
