@@ -1,6 +1,7 @@
 """Jaccard join by token-pair prefixes: components against all pairs, keys against every linked pair."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -52,6 +53,42 @@ def test_odd_rows(spark, table, odd_rows):
         assert answer(nj.ngram_join(table(odd_rows, extra=True).repartition(4), shingle, percent)) == expected(odd_rows, shingle, percent)
 
 
+@pytest.mark.parametrize("common,part", [(20_000, 1 << 19), (3, 50), (1, 7)])
+def test_shared_shingles_travel_packed(spark, table, monkeypatch, common, part):
+    """Profiles are those of a plain count, common shingles kept apart or not, and no shingle becomes a row."""
+    monkeypatch.setattr(nj, "COMMON", common)
+    monkeypatch.setattr(nj, "PART_SHINGLES", part)
+    plans, plain = [], nj.cut
+    monkeypatch.setattr(nj, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or plain(df))
+    chance = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    bases = [[chance.choice(vocabulary) for _ in range(40)] for _ in range(5)]
+    texts = [edited(chance.choice(bases), chance, chance.randrange(4), vocabulary) for _ in range(60)]
+    texts += [" ".join(chance.choice(vocabulary) for _ in range(40)) for _ in range(20)]
+    texts += [edited(texts[0].split(), chance, 12, vocabulary) for _ in range(20)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([*docs, docs[0], docs[7]], "cid long, text string").repartition(4)
+    got = {r.cid: r for r in nj.profiles(frame, 3, 80).collect()}
+    assert not any("Generate" in plan for plan in plans)
+    left = {i: brute.shingles(t, 3) for i, t in docs}
+    n = {i: len(s) for i, s in left.items()}
+    for _ in range(20):
+        df = Counter(x for s in left.values() for x in s)
+        left = {i: s for i, s in left.items() if 100 * sum(df[x] > 1 for x in s) >= 80 * n[i]}
+    # further rounds could drop more, and what stays must keep all shingles it shares
+    assert left.keys() <= got.keys()
+    if common == 20_000:
+        df = Counter(x for s in left.values() for x in s)
+        for i, s in left.items():
+            assert got[i].n == n[i] and len(got[i].tokens) >= sum(df[x] > 1 for x in s)
+            assert sorted(zip(got[i].df, got[i].tokens)) == list(zip(got[i].df, got[i].tokens))
+    known = {}
+    for r in got.values():
+        assert len(set(r.tokens)) == len(r.tokens)
+        for token, number in zip(r.tokens, r.df):
+            assert known.setdefault(token, number) == number
+
+
 def test_large_group_under_the_threshold_makes_few_pairs(spark, table, monkeypatch):
     """Thousands of copies, most just under the threshold to each other, are told apart without all pairs."""
     chance = random.Random(5)
