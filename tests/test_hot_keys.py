@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from paisaflow.operators import components, folding, hot_nearest, hot_pairing, keys
+from paisaflow.operators import components, folding, hot_nearest, hot_pairing, keys, slabs
 from paisaflow.operators.fuzzy import fuzzy_match
 from paisaflow.operators.keys import find_hot_keys, with_order_key
 from paisaflow.operators.nearest import nearest_pairs
@@ -237,3 +237,35 @@ def test_small_parts_are_folded_in_buckets(spark, monkeypatch, pair, cost):
     assert max(parts for parts, *_ in calls) > 30
     for parts, places, buckets, rows in calls:
         assert places == parts and buckets <= max(1, -(-rows // 400))
+
+
+@pytest.mark.parametrize("size", [30, 80])
+def test_slabs_equal_sequential_choice(spark, monkeypatch, size):
+    """Margins narrower than a row reaches and several passes; rows come twice; one key is too dense for slabs."""
+    monkeypatch.setattr(slabs, "LEAST_ROWS", 60)
+    monkeypatch.setattr(slabs, "SLAB_ROWS", size)
+    passes, plain = [], slabs._placed
+    monkeypatch.setattr(slabs, "_placed", lambda *a: passes.append(1) or plain(*a))
+    rng = random.Random(31)
+    ls, bs = crowd(rng, "", 150, 140, SPREAD, 60, 7)
+    ls, bs = ls + ls[:9], bs + bs[:5]
+    for name, amounts, days, step in (("copies", COPIES, 60, 1440), ("dense", LATTICE, 2, 1440), ("long", SPREAD, 400, 60)):
+        l, b = crowd(rng, name, 60, 50, amounts, days, step)
+        ls, bs = ls + l, bs + b
+    found = hot_pairing.pair_in_bands(*keyed(spark, ls, bs), FUZZY_TOLERANCE).collect()
+    own = lambda rows: [{**r, "source_id": f"{r['source_id']}#{i:04d}"} for i, r in enumerate(rows)]
+    want = greedy(own(ls), own(bs), fuzzy_cost)
+    assert sorted((r.l_id, r.b_id) for r in found) == sorted((l.split("#")[0], b.split("#")[0]) for l, b in want)
+    assert len(passes) > 1
+
+
+def test_sparse_key_is_settled_by_slabs_alone(spark, monkeypatch):
+    """No radius over the whole key is looked at, so jobs do not grow with its rows."""
+    monkeypatch.setattr(slabs, "LEAST_ROWS", 60)
+    monkeypatch.setattr(slabs, "SLAB_ROWS", 100)
+    radii, plain = [], hot_pairing._pick_radius
+    monkeypatch.setattr(hot_pairing, "_pick_radius", lambda *a: radii.append(1) or plain(*a))
+    ls, bs = crowd(random.Random(32), "", 160, 150, SPREAD, 90, 7)
+    found = hot_pairing.pair_in_bands(*keyed(spark, ls, bs), FUZZY_TOLERANCE)
+    assert pairs_of(found) == greedy(ls, bs, fuzzy_cost)
+    assert not radii
